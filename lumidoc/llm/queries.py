@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, simhash
+from . import langid, media, pieces, simhash, urlfilter, warc
+
+
+#: Verdict and pattern of the production rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), urlfilter.rule_table(spark, URL_RULES))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = pieces.decode(pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return read.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.length("text").alias("n_chars_decoded"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +34,46 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.where("kind in ('response', 'revisit')").select(
+        warc.page_of(F.col("record_id")).alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_columns, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_media_columns, op7_simhash_near_dedup, op8_warc, op9_language_id)}
+
+
+_OP1 = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts
+), rules(verdict, host, path) AS (VALUES {rules})
+SELECT s.page_id, s.host, s.path, best.rule, coalesce(best.verdict, 'allow') AS verdict
+FROM split s LEFT JOIN LATERAL (
+  SELECT r.host || r.path AS rule, r.verdict FROM rules r
+  WHERE (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+  ORDER BY length(r.host || r.path) DESC, length(r.host) DESC LIMIT 1
+) best ON true
+""".format(rules=", ".join(f"('{v}', '{p.split('/', 1)[0]}', '/{p.split('/', 1)[1]}')" for v, p in URL_RULES))
 
+_OP8 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN f.first_id IS NOT NULL AND f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first_id IS NOT NULL AND f.first_id <> p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_bytes >= 1000 AND f.payload_digest = p.payload_digest
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _OP1, "op8_warc": _OP8}
