@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, pieces, simhash, urlfilter, warc
+from . import decontaminate, langid, linededup, media, pieces, simhash, urlfilter, warc
 
 
 #: Verdict and pattern of the production rules.
@@ -30,6 +30,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(*names, F.concat_ws(":", F.concat_ws("x", "width", "height"), F.col("images").cast("string"), "thumb_hash").alias("feature"), "width", "height", "thumb_hash", "error")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -47,7 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_media_columns, op7_simhash_near_dedup, op8_warc, op9_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_media_columns, op4_line_dedup, op6_decontamination, op7_simhash_near_dedup, op8_warc, op9_language_id)}
 
 
 _OP1 = """
