@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, media, pieces, simhash, urlfilter, warc
+from . import decontaminate, langid, licenses, linededup, media, pieces, simhash, urlfilter, warc
 
 
 #: Verdict and pattern of the production rules.
@@ -54,8 +54,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(F.col("doc_id").cast("string"), F.lit("_")))
+    return licenses.scan(docs, "doc_id", path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_media_columns, op4_line_dedup, op6_decontamination, op7_simhash_near_dedup, op8_warc, op9_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_media_columns, op4_line_dedup, op6_decontamination, op7_simhash_near_dedup, op8_warc, op9_language_id, op10_license_scans)}
 
 
 _OP1 = """
@@ -84,4 +90,42 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
 FROM p LEFT JOIN f ON p.payload_bytes >= 1000 AND f.payload_digest = p.payload_digest
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": _OP1, "op8_warc": _OP8}
+_WORDS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-/:-@\[-`{{-\x7f]+'), lambda w: w <> '')"
+_OP10 = """
+WITH files AS (
+  SELECT doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), coalesce(doc_id::VARCHAR, '_')) AS path, coalesce(text, '') AS text FROM documents
+), templates(template, license, text) AS (VALUES {templates}),
+tw AS (SELECT template, license, word, count(*) AS times FROM (SELECT template, license, unnest({words}) AS word FROM templates) GROUP BY ALL),
+seen AS (SELECT DISTINCT path, word FROM (SELECT path, unnest({words}) AS word FROM files) WHERE word IN (SELECT word FROM tw)),
+total AS (SELECT count(*)::DOUBLE AS n FROM files),
+idf AS (SELECT v.word, ln((1 + (SELECT n FROM total)) / (1 + coalesce(c.n, 0))) + 1 AS idf
+  FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN (SELECT word, count(*) AS n FROM seen GROUP BY 1) c USING (word)),
+tn AS (SELECT template, sqrt(sum((times * idf) * (times * idf))) AS norm FROM tw JOIN idf USING (word) GROUP BY 1),
+vec AS (SELECT template, license, word, times * idf / norm AS weight FROM tw JOIN idf USING (word) JOIN tn USING (template)),
+parts AS (
+  SELECT path, -1 AS seg, text FROM files WHERE regexp_matches(text, '(?i)licen|rights|permi|software|source|redistr|mozilla|commons|work|cc')
+  UNION ALL
+  SELECT path, seg, text FROM (SELECT path, generate_subscripts(l, 1) - 1 AS seg, unnest(l) AS text FROM (SELECT path, string_split(text, chr(10)) AS l FROM files))
+),
+tf AS (SELECT path, seg, word, count(*) AS times FROM (SELECT path, seg, unnest({words}) AS word FROM parts) GROUP BY ALL),
+wx AS (SELECT path, seg, word, idf.idf IS NOT NULL AS known, times * coalesce(idf.idf, ln(1 + (SELECT n FROM total)) + 1) AS x FROM tf LEFT JOIN idf USING (word)),
+norms AS (SELECT path, seg, sqrt(sum(x * x)) AS norm FROM wx GROUP BY ALL),
+cosines AS (SELECT path, seg, license, round(sum(x * weight) / any_value(norm), 6) AS cosine FROM wx JOIN vec USING (word) JOIN norms USING (path, seg) GROUP BY path, seg, template, license),
+best AS (SELECT path, seg, cosine, license FROM cosines WHERE cosine >= {least} QUALIFY row_number() OVER (PARTITION BY path, seg ORDER BY cosine DESC, license) = 1),
+own AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, seg, license) = 1),
+holders AS (SELECT regexp_extract(path, '^(.*)/', 1) AS dir, license FROM best WHERE seg < 0 QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY cosine DESC, path) = 1),
+given AS (
+  SELECT f.path, h.dir AS from_dir, h.license, len(string_split(regexp_extract(f.path, '^(.*)/', 1), '/')) - len(string_split(h.dir, '/')) AS distance
+  FROM files f JOIN holders h ON starts_with(f.path, h.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(h.dir) DESC) = 1
+)
+SELECT f.doc_id, f.path, coalesce(o.license, g.license) AS license,
+  CASE WHEN o.seg < 0 THEN 'file' WHEN o.seg >= 0 THEN 'header' WHEN g.license IS NOT NULL THEN 'inherited' END AS how, o.cosine,
+  CASE WHEN o.license IS NULL THEN g.from_dir END AS from_dir, CASE WHEN o.license IS NULL THEN g.distance END::INT AS distance
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN given g USING (path)
+""".format(
+    words=_WORDS.format("text"), least=licenses.LEAST,
+    templates=", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES)),
+)
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _OP1, "op8_warc": _OP8, "op10_license_scans": _OP10}
