@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, linededup, media, pieces, simhash, urlfilter, warc
+from . import decontaminate, langid, licenses, linededup, media, pieces, quality, simhash, urlfilter, warc
 
 
 #: Verdict and pattern of the production rules.
@@ -34,6 +34,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -61,7 +65,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_media_columns, op4_line_dedup, op6_decontamination, op7_simhash_near_dedup, op8_warc, op9_language_id, op10_license_scans)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_media_columns, op4_line_dedup, op5_quality_classifier, op6_decontamination, op7_simhash_near_dedup, op8_warc, op9_language_id, op10_license_scans)}
 
 
 _OP1 = """
