@@ -1 +1 @@
-
+"""Queries over the input tables, by name."""
