@@ -172,7 +172,7 @@ def decisive_margin(scores: DataFrame, group: str, score: str = "score") -> Data
     rows = ranked.groupBy(group).agg(F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col(score))).alias("top"), F.max(F.when(F.col("rn") == 2, F.col(score))).alias("second"), F.stddev_pop(F.when(F.col("rn") > 1, F.col(score))).alias("sd"))
     m12, band = F.col("top") - F.col("second"), F.when(F.col("sd") <= 1e-6, 0.0).otherwise(F.col("sd"))
     few = F.col("n") < 2
-    return rows.select(group, F.when(few, 0.0).otherwise(m12).alias("m12"), F.when(few, 0.0).otherwise(band).alias("band"), F.when(few, True).otherwise(F.when(F.col("sd") <= 1e-6, m12 > 0).otherwise(m12 >= band)).alias("decisive"))
+    return rows.select(group, F.when(few, 0.0).otherwise(m12).alias("m12"), F.when(few, 0.0).otherwise(band).alias("band"), F.when(few, True).otherwise(F.when(F.col("sd") <= 1e-6, m12 > 0).otherwise(F.round(m12, 9) >= F.round(band, 9))).alias("decisive"))
 
 
 def prejudice_dominates(own: Column, prejudice: Column, held: Column) -> Column:

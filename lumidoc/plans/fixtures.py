@@ -49,7 +49,7 @@ FROM (SELECT label, embedding AS vec, row_number() OVER (PARTITION BY label ORDE
     # boxes with scores, by page
     "boxes": (
         """
-SELECT l_orderkey AS page, CAST(l_linenumber AS INT) AS seq, 'f' || CAST(l_partkey % 5 AS STRING) AS field, CAST(l_partkey % 60 AS INT) AS x0, CAST(l_suppkey % 40 AS INT) AS y0,
+SELECT l_orderkey AS page, CAST(l_linenumber * 1000000 + l_partkey % 1000000 AS INT) AS seq, 'f' || CAST(l_partkey % 5 AS STRING) AS field, CAST(l_partkey % 60 AS INT) AS x0, CAST(l_suppkey % 40 AS INT) AS y0,
   CAST(l_partkey % 60 + 10 + l_quantity AS INT) AS x1, CAST(l_suppkey % 40 + 8 + l_linenumber * 4 AS INT) AS y1, round(l_discount * 100 + l_tax * 10, 4) AS score, CAST(l_partkey % 3 AS INT) AS region
 FROM {lineitem}""",
         ("lineitem",),
@@ -57,7 +57,7 @@ FROM {lineitem}""",
     # word spans with scores, by document
     "spans": (
         """
-SELECT l_orderkey AS doc, CAST(l_linenumber AS INT) AS seq, CAST(l_partkey % 40 AS INT) AS s, CAST(l_partkey % 40 + 1 + l_linenumber % 6 AS INT) AS e,
+SELECT l_orderkey AS doc, CAST(l_linenumber * 1000000 + l_partkey % 1000000 AS INT) AS seq, CAST(l_partkey % 40 AS INT) AS s, CAST(l_partkey % 40 + 1 + l_linenumber % 6 AS INT) AS e,
   'f' || CAST(l_suppkey % 4 AS STRING) AS field, round(l_discount * 10 + l_tax, 4) AS score, l_returnflag = 'R' AS confirmed
 FROM {lineitem}""",
         ("lineitem",),
@@ -65,7 +65,7 @@ FROM {lineitem}""",
     # readings of lines, by page
     "votes": (
         """
-SELECT l_orderkey AS page, CAST(l_linenumber % 3 AS INT) AS line, CAST(l_linenumber AS INT) AS seq, CASE WHEN l_partkey % 4 = 0 THEN 'total amount due' WHEN l_partkey % 4 = 1 THEN 'total amount duo' WHEN l_partkey % 4 = 2 THEN 'Total  amount due' ELSE 'tota1 amount' END AS text,
+SELECT l_orderkey AS page, CAST(l_linenumber % 3 AS INT) AS line, CAST(l_linenumber * 1000000 + l_partkey % 1000000 AS INT) AS seq, CASE WHEN l_partkey % 4 = 0 THEN 'total amount due' WHEN l_partkey % 4 = 1 THEN 'total amount duo' WHEN l_partkey % 4 = 2 THEN 'Total  amount due' ELSE 'tota1 amount' END AS text,
   CASE WHEN l_suppkey % 2 = 0 THEN 'ocr' ELSE 'reader' END AS source, round(1 - l_discount * 5, 4) AS conf
 FROM {lineitem}""",
         ("lineitem",),
@@ -81,7 +81,7 @@ UNION ALL SELECT 'r' || CAST(vec_id AS STRING), vec_id + 200000, false, embeddin
     # rows read by OCR with boxes, by page
     "ocr_rows": (
         """
-SELECT l_orderkey AS page, CAST(l_linenumber AS INT) AS seq, CASE WHEN l_linenumber % 2 = 1 THEN 'LABEL ' || substr('ABCDEFGH', CAST(l_linenumber AS INT), 1) ELSE 'value ' || CAST(l_partkey AS STRING) END AS text, round(1 - l_discount, 4) AS conf,
+SELECT l_orderkey AS page, CAST(l_linenumber * 1000000 + l_partkey % 1000000 AS INT) AS seq, CASE WHEN l_linenumber % 2 = 1 THEN 'LABEL ' || substr('ABCDEFGH', CAST(l_linenumber AS INT), 1) ELSE 'value ' || CAST(l_partkey AS STRING) END AS text, round(1 - l_discount, 4) AS conf,
   CAST(10 + (l_suppkey % 3) * 60 AS INT) AS x0, CAST(l_linenumber * 12 + l_partkey % 5 AS INT) AS y0, CAST(60 + (l_suppkey % 3) * 60 AS INT) AS x1, CAST(l_linenumber * 12 + l_partkey % 5 + 10 AS INT) AS y1
 FROM {lineitem}""",
         ("lineitem",),
