@@ -8,7 +8,8 @@ template if the cosine, rounded to 6 digits, is at least `least`; the greatest o
 text first, then the first line, then the licence's name).
 
 Exact pruning: a cosine of `least` or more needs one of a template's anchors, its heaviest words without which
-the rest of the template's unit vector is shorter than `least`. Only texts and lines with an anchor are scored.
+the rest of the template's unit vector is shorter than `least`. Only texts and lines with an anchor are scored, and
+whole texts only if their words outside the vocabulary leave room for that cosine.
 
 Inheritance: a licence file gives its licence to its directory (greatest cosine, then least path). A file without a
 licence of its own takes that of the nearest directory above it that has one, found by joining each directory's
@@ -25,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 LEAST = 0.8
 
 #: Fixed texts: statements by which files name their licence, and the opening paragraphs of licence texts.
@@ -64,8 +67,9 @@ def _template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> Da
 def _weights(files: DataFrame, templates: DataFrame) -> tuple[list[tuple[int, str, str, int, float]], float]:
     """Every template word with its weight, and the weight of unseen words; counts are over all files."""
     vocabulary = templates.select("word").distinct()
-    seen = files.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    counts = {r["word"]: r["n"] for r in seen.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n")).collect()}
+    known = F.array(*[F.lit(r["word"]) for r in vocabulary.orderBy("word").collect()])
+    seen = files.select(F.explode(F.array_intersect(F.split("text", SEPARATORS), known)).alias("word"))
+    counts = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = files.count()
     weigh = lambda n: math.log((1 + total) / (1 + n)) + 1
     return [(r["template"], r["license"], r["word"], r["times"], weigh(counts.get(r["word"], 0))) for r in templates.collect()], weigh(0)
@@ -84,11 +88,25 @@ def _anchors(weights: list[tuple[int, str, str, int, float]], least: float) -> l
     return sorted(found)
 
 
-def _any(text: Column, parts: list[str]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | text.contains(p)
-    return out
+def _any(text: Column, anchors: list[str]) -> Column:
+    """Whether a lowered text has one of the anchors as a word."""
+    inside = r"[0-9a-z\x{80}-\x{10FFFF}]"
+    return text.rlike(f"(?<!{inside})(?:{'|'.join(anchors)})(?!{inside})")
+
+
+def _could(text: Column, weights: dict[str, float], unseen: float, least: float) -> Column:
+    """Whether a text can come to the least cosine at all, from the words outside the vocabulary.
+
+    With V the weights of the vocabulary's words, each as often as it stands there, and n the number of other
+    words, the vocabulary's share of the squared length is at most (sum V)^2 / ((sum V)^2 + n * unseen^2).
+    """
+    lookup = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
+    found = F.aggregate(
+        words(text), F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("n")),
+        lambda acc, w: F.struct((acc["v"] + F.coalesce(F.try_element_at(lookup, w), F.lit(0.0))).alias("v"), (acc["n"] + F.when(F.map_contains_key(lookup, w), 0).otherwise(1)).alias("n")),
+    )
+    square = found["v"] * found["v"]
+    return square >= (least - 1e-6) ** 2 * (square + found["n"] * unseen * unseen)
 
 
 def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -101,9 +119,10 @@ def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     idf = spark.createDataFrame(sorted({(w[2], w[4]) for w in weights}), "word string, idf double")
     vectors = spark.createDataFrame([(k, name, word, times * x / length[k]) for k, name, word, times, x in weights], "template int, license string, word string, weight double")
 
-    hit = files.where(_any(F.col("text"), anchors))
+    hit = written(files.where(_any(F.col("text"), anchors)), "license-hits")
     lines = hit.select("path", "mark", F.posexplode(F.split("text", "\n")).alias("seg", "part")).where(_any(F.col("part"), anchors))
-    parts = lines.unionByName(hit.select("path", "mark", F.lit(-1).alias("seg"), F.col("text").alias("part"))).distinct()
+    whole = hit.where(_could(F.col("text"), {w[2]: w[4] for w in weights}, unseen, least))
+    parts = lines.unionByName(whole.select("path", "mark", F.lit(-1).alias("seg"), F.col("text").alias("part"))).distinct()
     found = parts.select("path", "mark", "seg", F.explode(words(F.col("part"))).alias("word"))
     counted = found.groupBy("path", "mark", "seg", "word").agg(F.count("*").alias("times"))
     weighed = counted.join(F.broadcast(idf), "word", "left").withColumn("x", F.col("times") * F.coalesce("idf", F.lit(unseen)))
