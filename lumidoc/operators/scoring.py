@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import shipped
+
 #: Bank vectors that go to the executors at a time.
 BLOCK = 65_536
 TINY = 1e-8
@@ -77,6 +79,7 @@ def max_pool(vectors: DataFrame, bank: DataFrame, key: str, by: list[str], vec:
     The first phrase (by ord) wins ties. bank.ord is unique inside a group.
     """
     spark = vectors.sparkSession
+    shipped(spark)
     out = None
     kinds = [bank.schema[c].dataType.simpleString() for c in by]
     shape = ", ".join([f"`{key}` {vectors.schema[key].dataType.simpleString()}", *[f"`{c}` {t}" for c, t in zip(by, kinds, strict=True)], "score double", "ord int"])
@@ -225,6 +228,7 @@ def top_k(queries: DataFrame, store: DataFrame, qid: str, rid: str, k: int, vec:
     only its own k best before anything is shuffled, so the shuffle holds k rows for each query and batch.
     """
     spark = store.sparkSession
+    shipped(spark)
     k = max(1, k)
     shape = f"`{qid}` {queries.schema[qid].dataType.simpleString()}, `{rid}` {store.schema[rid].dataType.simpleString()}, score double"
     out = None
