@@ -5,7 +5,7 @@ the others are revisits that refer to it; shorter ones are all responses. Every
 Archives are rows (archive, content) of a table in the shared folder, so that no executor's own disk is needed.
 
 Reader. Reads gzip members and plain records in turn and checks version line, lengths, closing line breaks, the
-member's CRC and the payload's digest. After a failed check it searches for the next place where a valid member or
+member's CRC and the digests of block and payload. After a failed check it searches for the next place where a valid member or
 version line begins, goes on there and reports the bytes between as a quarantined gap.
 
 Cases: a null html is an empty payload; a null url leaves its header out; line breaks in a url are escaped. Rows
@@ -53,8 +53,12 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     return rows.join(repeated, "digest", "left").select("id", "url", "body", "digest", F.when(long & (F.col("id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
+def _sha1(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 def _record(kind: str, name: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
-    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), *headers, ("Content-Length", str(len(block)))]
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), *headers, ("WARC-Block-Digest", _sha1(block)), ("Content-Length", str(len(block)))]
     head = "".join(f"{k}: {v}\r\n" for k, v in lines)
     return VERSION + b"\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
@@ -167,6 +171,9 @@ def _checked(headers: dict[str, str], block: bytes) -> dict:
     """What the reader returns of one record."""
     kind = headers.get("warc-type", "")
     payload = block
+    told = headers.get("warc-block-digest", "")
+    if told.upper().startswith("SHA1:") and told.upper() != _sha1(block).upper():
+        raise _Bad("the block's digest doesn't fit")
     if headers.get("content-type", "").startswith("application/http"):
         _, gap, payload = block.partition(b"\r\n\r\n")
         if not gap:
@@ -174,7 +181,7 @@ def _checked(headers: dict[str, str], block: bytes) -> dict:
     told = headers.get("warc-payload-digest", "")
     digest = hashlib.sha1(payload).hexdigest()
     if kind != "revisit":
-        if told and told.upper() != "SHA1:" + base64.b32encode(bytes.fromhex(digest)).decode():
+        if told.upper().startswith("SHA1:") and told.upper() != _sha1(payload).upper():
             raise _Bad("the payload's digest doesn't fit")
         return {"kind": kind, "record_id": headers.get("warc-record-id"), "url": headers.get("warc-target-uri"), "payload": payload, "digest": digest, "length": len(payload), "refers_to": None}
     try:
