@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import shipped
+
 #: Rows and bytes that one Arrow batch may carry into a Python worker; bounds the worker's memory.
 ARROW_ROWS = "1000"
 ARROW_BYTES = "8m"
@@ -32,7 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, so that long texts do not gather in one batch."""
+    """Bound the Arrow batches of this session, so that long texts do not gather in one batch; send the package along."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
