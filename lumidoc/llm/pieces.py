@@ -295,6 +295,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return ordinary.unionByName(whole.select(id_col, "ids"))
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column of numbers; much faster than value by value."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for k, known in enumerate(column.is_valid().to_pylist()):
+        yield values[ends[k] : ends[k + 1]].tolist() if known else None
+
+
 def decode(encoded: DataFrame, id_col: str = "doc_id", model: str = MODEL) -> DataFrame:
     """(id_col, ids, text): the text that the ids stand for."""
     limit_batches(encoded.sparkSession)
@@ -302,7 +309,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", model: str = MODEL) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(model)
         for batch in batches:
-            texts = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else own.decode(x) for x in _lists(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     rows = encoded.select(id_col, "ids")
