@@ -27,6 +27,8 @@ RADIUS = 2
 SEED = 42
 #: A bucket with more distinct fingerprints than this is dealt again by finer keys.
 BUCKET = 512
+#: Fingerprints of many rows (some 30 bytes each) that are sent to every executor at most.
+BROADCAST_ROWS = 100_000
 #: Lanes of one bit-sliced block.
 LANES = 1 << 14
 
@@ -207,12 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with equal fingerprints are one class; classes link at `radius` or fewer differing bits.
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
+    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "classes")
     label = components(links(classes, radius))
     least = label.join(classes, label.node == classes.fp).groupBy("label").agg(F.min("first").alias("low"))
     moved = label.join(least, "label").select(F.col("node").alias("fp"), "low")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    named = written(classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")), "named")
+    # at most BROADCAST_ROWS fingerprints can have more rows than this: they are sent to every executor, the others shuffle
+    often = max(100, (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) // BROADCAST_ROWS)
+    hot, rest = F.broadcast(named.where(F.col("n") > often)), named.where(F.col("n") <= often)
+    found = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(rest, "fp"))
+    return found.select(id_col, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
