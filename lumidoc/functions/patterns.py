@@ -99,3 +99,18 @@ BLOCKS = [
 # Relay edges and addresses.
 RELAY_TARGETS = ["PL", "CINV", "CSI", "CO", "ED", "ID", "FI", "SOA", "PO", "LC"]
 ZERO_ADDRESS = "0x" + "0" * 40
+
+# What a model says when it repeats its instructions instead of reading.
+SCHEMA_ECHO = ["", "-", "--", "...", "n/a", "na", "null", "none", "undefined", "unknown", "string", "number", "boolean", "array", "object", "schema", "region", "hint", "spec", "format", "example", "placeholder", "todo", "tbd", "value", "val", "field", "text", "key", "item", "raw", "cleaned value", "empty string", "cleaned value or empty string", "copy from ocr text or empty string"]
+FIELD_ECHO = r"^(field|value|val|text|key|item|raw)([ _\-]?[0-9]+)?$"
+TYPE_MARKER = r"(?i)\{(String|Number|Boolean|Array)\}"
+PROMPT_ECHO = ["script rule", "scriptrule", "do not romanize", "do not translate", "do not transliterate", "correct output style", "writing system", "transcribe now", "reproduce every character", "omit it rather than", "is a failure", "separate distinct text blocks", "context:", "region:", "schema:", "hint:"]
+REASONING = ["the user wants", "the user is asking", "the user asks", "i need to", "i should", "let me", "okay,", "first,", "looking at the image", "we need to"]
+EXPECTED_SCRIPT = {"kor": "Hangul", "jpn": "Kana", "zho": "Han", "rus": "Cyrillic", "ukr": "Cyrillic", "ara": "Arabic", "tha": "Thai", "hin": "Devanagari", "ell": "Greek", "heb": "Hebrew", "tam": "Tamil", "tel": "Telugu"}
+
+# Sentences that a document's vector is held against, and sentences of no language.
+LANGUAGE_TEMPLATES = ["a document written in the {name} language", "this printed text is written in {name}", "{name} words sentences and grammar", "an official form filled out in {name}"]
+NOISE_SENTENCES = ["random meaningless characters that belong to no language", "machine generated placeholder tokens and markup fragments", "html xml tags attributes and special control tokens", "a shuffled list of unrelated words without grammar", "garbled unreadable optical character recognition output"]
+LANGUAGE_NAMES = {"eng": "English", "deu": "German", "fra": "French", "spa": "Spanish", "ita": "Italian", "por": "Portuguese", "nld": "Dutch"}
+ISO1 = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "it": "ita", "pt": "por", "nl": "nld", "ko": "kor", "ja": "jpn", "zh": "zho", "ru": "rus", "ar": "ara"}
+LATIN_PRIORS = {"eng": 1.00, "deu": 0.62, "fra": 0.62, "spa": 0.62, "por": 0.58, "ita": 0.56, "nld": 0.52}

@@ -97,7 +97,8 @@ def is_junk_phrase(p: Text) -> Column:
 
 
 def claimable(v: Text) -> Column:
-    return (F.length(trimmed(v)) >= 3) & ~trimmed(v).rlike(r"^[0-9]{1,4}$")
+    c = compact(v)
+    return (F.length(trimmed(v)) >= 3) & (c != "") & ~c.rlike(r"^[0-9]{1,4}$")
 
 
 def plausible_identity(v: Text) -> Column:
@@ -253,3 +254,118 @@ def latin_language(text: Text) -> Column:
     best = F.get(F.map_keys(F.map_filter(hits, lambda _, n: n == top)), F.lit(0))
     sure = (F.size(latin_tokens(text)) >= P.LATIN_LIMITS["tokens"]) & (top >= P.LATIN_LIMITS["hits"]) & (top - second >= P.LATIN_LIMITS["margin"])
     return F.when(sure, best).otherwise("eng")
+
+
+def is_schema_echo(v: Text, field: Text) -> Column:
+    """Whether a value is empty, a placeholder, a type marker or its own field's name."""
+    t = trimmed(v)
+    low = F.regexp_replace(F.lower(t), "^[ .:\"'`]+|[ .:\"'`]+$", "")
+    name = F.lower(trimmed(field))
+    return (t == "") | low.isin(*P.SCHEMA_ECHO) | t.rlike(P.TYPE_MARKER) | low.rlike(P.FIELD_ECHO) | ((name != "") & ((low == name) | (low == F.replace(name, F.lit("_"), F.lit(" ")))))
+
+
+def echoes_spec(v: Text, spec: Text) -> Column:
+    """Whether a value repeats its specification: one holds the other, or 60 % of the specification's words are there."""
+    a, b = compact(v), compact(spec)
+    x, y = word_set(v), word_set(spec)
+    shared = (F.size(x) >= 2) & (F.size(y) >= 2) & (F.size(F.array_intersect(x, y)) / F.greatest(F.size(y), F.lit(1)) >= 0.60)
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | shared)
+
+
+def looks_prompt_echo(v: Text) -> Column:
+    flat = F.regexp_replace(F.lower(_c(v)), r"\s+", "")
+    return F.exists(F.array(*[F.lit(m.replace(" ", "")) for m in P.PROMPT_ECHO]), lambda m: F.contains(flat, m))
+
+
+def looks_reasoning(v: Text) -> Column:
+    low = F.lower(trimmed(v))
+    body = F.regexp_extract(low, r"(?s)<think>(.*?)(</think>|$)", 1)
+    return F.when(F.contains(low, F.lit("<think>")), F.regexp_replace(body, r"\s+", "") != "").otherwise(F.exists(F.array(*[F.lit(o) for o in P.REASONING]), lambda o: F.startswith(low, o)))
+
+
+def script_share(v: Text, script: Column) -> Column:
+    """The share of a script among the characters of any known script; null without one."""
+    census = block_census(v)
+    total = F.aggregate(F.map_values(census), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.when(total > 0, F.coalesce(F.try_element_at(census, script), F.lit(0)) / total)
+
+
+def expected_script(lang: Text) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in P.EXPECTED_SCRIPT.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(_c(lang))), F.lit("Latin"))
+
+
+def looks_romanized(v: Text, lang: Text) -> Column:
+    """Mostly Latin letters where another script is expected; needs four characters."""
+    n = F.aggregate(F.map_values(block_census(v)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return (expected_script(lang) != "Latin") & (n >= 4) & (script_share(v, F.lit("Latin")) >= 0.55)
+
+
+def draft_matches_language(v: Text, lang: Text) -> Column:
+    return F.coalesce(script_share(v, expected_script(lang)) >= 0.25, F.lit(True))
+
+
+def normalize_lang(code: Text) -> Column:
+    """ISO 639-3 of a code such as `en`, `EN-us` or `eng`; English if there is none."""
+    c = F.replace(F.lower(F.trim(F.coalesce(_c(code), F.lit("")))), F.lit("-"), F.lit("_"))
+    head = F.substring_index(c, "_", 1)
+    table = F.create_map(*[F.lit(x) for pair in P.ISO1.items() for x in pair])
+    return F.when(c == "", "eng").otherwise(F.coalesce(F.try_element_at(table, head), head))
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def lcs_similarity(a: Text, b: Text) -> Column:
+    """2 * LCS / (m + n) of the compact texts, by the usual table row by row."""
+
+    def table(x: Column, y: Column) -> Column:
+        ys = F.transform(F.filter(F.split(y, ""), lambda ch: ch != ""), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
+        zero = F.transform(F.sequence(F.lit(0), F.length(y)), lambda i: F.lit(0))
+
+        def row(es: Column, prev: Column, ch: Column) -> Column:
+            # cur[j] = prev[j-1] + 1 if equal, else max(cur[j-1], prev[j])
+            return F.aggregate(es, F.array(F.lit(0)), lambda cur, e: F.array_append(cur, F.when(e["c"] == ch, F.get(prev, e["j"]) + 1).otherwise(F.greatest(F.get(cur, e["j"]), F.get(prev, e["j"] + 1)))))
+
+        last = _let(ys, lambda es: F.aggregate(F.filter(F.split(x, ""), lambda ch: ch != ""), zero, lambda prev, ch: row(es, prev, ch)))
+        return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(2.0 * F.element_at(last, -1) / (F.length(x) + F.length(y)))
+
+    return _let(compact(a), lambda x: _let(compact(b), lambda y: table(x, y)))
+
+
+def repair_key(key: Text, fields: list[str], least: float = 0.72) -> Column:
+    """(field, index) of a key as a model wrote it: a trailing number is an index, a near name is the nearest field."""
+    raw = trimmed(key)
+    base = F.regexp_extract(raw, r"^(.*?)[ _\-]?([0-9]{1,2})$", 1)
+    base = F.when(base == "", raw).otherwise(base)
+    index = F.when(base == raw, 0).otherwise(F.regexp_extract(raw, r"([0-9]{1,2})$", 1).cast("int"))
+    names = F.array(*[F.lit(f) for f in fields])
+    scored = F.transform(names, lambda f, i: F.struct(F.round(lcs_similarity(base, f), 9).alias("s"), (-i).alias("less"), f.alias("f")))
+    near = _let(F.array_max(scored), lambda best: F.when(best["s"] >= least, best["f"]).otherwise(""))
+    return F.struct(F.when(F.array_contains(names, base), base).otherwise(near).alias("field"), index.alias("idx"))
+
+
+def salvage_object(text: Text) -> Column:
+    """A map of all whole `"key": "value"` or `"key": number` pairs of a text, the last of equal keys, whatever else is broken."""
+    pairs = F.regexp_extract_all(_c(text), F.lit(r'"[A-Za-z_][A-Za-z0-9_ \-]*"\s*:\s*("[^"]*"|-?[0-9][0-9.]*)'), F.lit(0))
+    entries = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r'^"([^"]*)"', 1).alias("key"), F.regexp_extract(p, r':\s*"?([^"]*)"?$', 1).alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def grams_cosine(a: Text, b: Text) -> Column:
+    """Cosine of raw counts of 2- and 3-grams of the compact texts."""
+    from ..operators.bank import grams
+
+    def counts(g: Column) -> Column:
+        return F.transform(F.array_distinct(g), lambda t: F.struct(t.alias("t"), F.size(F.filter(g, lambda u: u == t)).cast("double").alias("n")))
+
+    def square(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda s, e: s + e["n"] * e["n"])
+
+    def whole(x: Column, y: Column) -> Column:
+        dot = _let(counts(x), lambda cx: F.aggregate(cx, F.lit(0.0), lambda s, e: s + e["n"] * F.size(F.filter(y, lambda u: u == e["t"]))) / F.sqrt(square(cx)))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(dot / F.sqrt(square(counts(y))))
+
+    return _let(grams(_c(a)), lambda x: _let(grams(_c(b)), lambda y: whole(x, y)))

@@ -6,7 +6,7 @@ a larger bank makes more blocks, not larger ones. Vectors are never shuffled bef
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +20,26 @@ BLOCK = 65_536
 TINY = 1e-8
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return let(a, lambda v: F.sqrt(dot(v, v)))
 
 
 def unit(a: Column) -> Column:
     """A vector at length 1; one near zero stays as it is."""
-    n = norm(a)
-    return F.when(n < TINY, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return let(a, lambda v: let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n < TINY, 1.0).otherwise(n))))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return F.when((norm(a) < TINY) | (norm(b) < TINY), 0.0).otherwise(dot(a, b) / (norm(a) * norm(b)))
+    return let(a, lambda x: let(b, lambda y: let(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), lambda n: F.when(n < TINY * TINY, 0.0).otherwise(dot(x, y) / n))))
 
 
 def gumbel(n: Column) -> Column:

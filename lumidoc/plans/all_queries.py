@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import record_queries, text_queries, vector_queries  # noqa: F401
+from . import model_queries, record_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -81,7 +81,7 @@ SELECT id, v <> '' AND length(v) <= 120 AND (length(v) >= 2 OR regexp_matches(v,
   round(CASE WHEN n <= 3 THEN 0.8 WHEN n >= 9 THEN 0.42 ELSE 0.8 - 0.38 * (n - 3) / 6.0 END::DOUBLE, 6) AS floor,
   length(v) >= 3 AND (alnum / greatest(solid, 1)::DOUBLE < 0.45 OR (len(regexp_extract_all(v, '\p{{L}}')) >= 4 AND regexp_matches(v, '\p{{Lu}}') AND regexp_matches(v, '\p{{Ll}}')
     AND len(list_filter(regexp_split_to_array(v, '\s+'), lambda w: length(w) = 1)) >= 2)) AS garbled,
-  length(v) >= 3 AND NOT regexp_matches(v, '^[0-9]{{1,4}}$') AS claimable, alnum = 0 OR (alnum = 1 AND NOT regexp_matches(v, '[^\x00-\x7F]')) AS junk,
+  length(v) >= 3 AND {COMPACT.format("v")} <> '' AND NOT regexp_matches({COMPACT.format("v")}, '^[0-9]{{1,4}}$') AS claimable, alnum = 0 OR (alnum = 1 AND NOT regexp_matches(v, '[^\x00-\x7F]')) AS junk,
   v <> '' AND length(v) <= 40 AND NOT regexp_matches(v, '[\r\n]') AND len(regexp_split_to_array(v, '\s+')) <= 3 AND regexp_matches(v, '[0-9]') AS identity FROM m""",
     ("samples",),
 )

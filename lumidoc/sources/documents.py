@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -84,7 +85,7 @@ def save_results(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(text: pd.Series) -> pd.Series:
     """A dictionary cut off in the middle, up to its last whole top-level entry; null if there is none."""
 
