@@ -61,12 +61,12 @@ def positive_stats(scores: DataFrame, group: str = "category") -> DataFrame:
     return rows.select(group, F.when(few, 0.0).otherwise(F.col("mean")).alias("mean"), F.when(few, 0.0).otherwise(F.col("sd")).alias("sd"), "n", F.when(F.col("n") < 4, 0.0).otherwise(F.col("mean") + F.col("sd")).alias("gate"))
 
 
-def grounded(claims: DataFrame, patches: DataFrame, leeway: float = 0.5) -> DataFrame:
-    """(claim, s_in, s_out, accepted) of claims(claim, vec, r0, r1, c0, c1): does the best patch inside its box beat those outside?
+def grounded(claims: DataFrame, patches: DataFrame, page: str, leeway: float = 0.5) -> DataFrame:
+    """(claim, s_in, s_out, accepted) of claims(page, claim, vec, r0, r1, c0, c1): does the best patch inside its box beat those outside?
 
-    Patches are one page's grid, a small table that goes to all executors; claims stay where they are.
+    Claims meet the patches of their own page by an equi-join, a grid of some hundred patches.
     """
-    sims = claims.crossJoin(F.broadcast(patches.select("r", "c", F.col("vec").alias("pvec")))).select("claim", S.cosine(F.col("vec"), F.col("pvec")).alias("sim"), (F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1"))).alias("inside"))
+    sims = claims.join(patches.select(page, "r", "c", F.col("vec").alias("pvec")), page).select("claim", S.cosine(F.col("vec"), F.col("pvec")).alias("sim"), (F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1"))).alias("inside"))
     rows = sims.groupBy("claim").agg(F.avg("sim").alias("mean"), F.greatest(F.stddev_pop("sim"), F.lit(1e-6)).alias("sd"), F.max(F.when(F.col("inside"), F.col("sim"))).alias("in"), F.max(F.when(~F.col("inside"), F.col("sim"))).alias("out"), F.count_if(F.col("inside")).alias("n_in"), F.count_if(~F.col("inside")).alias("n_out"))
     s_in = (F.col("in") - F.col("mean")) / F.col("sd") - S.gumbel(F.col("n_in"))
     s_out = (F.col("out") - F.col("mean")) / F.col("sd") - S.gumbel(F.col("n_out"))

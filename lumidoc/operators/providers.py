@@ -22,6 +22,22 @@ def hash_embedding(text: Column, dim: int = DIM) -> Column:
     return S.unit(counts)
 
 
+def hash_vectors(docs: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """(key, vec, norm): hash_embedding of whole long texts, by counting; norm is the counts' length.
+
+    3-grams become rows that are counted by document and bucket before the shuffle, so that holds at most `dim`
+    rows for a document and task, however long the text.
+    """
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
+    # substring() walks a text from its start each time: single characters, taken apart once, don't
+    grams = S.let(F.filter(F.split(padded, ""), lambda c: c != ""), lambda cs: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(cs) - 3)), lambda i: F.concat(F.get(cs, i), F.coalesce(F.get(cs, i + 1), F.lit("")), F.coalesce(F.get(cs, i + 2), F.lit("")))))
+    rows = docs.select(key, F.explode(grams).alias("gram"))
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("gram").cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(dim))
+    counts = rows.groupBy(key, bucket.alias("b")).agg(F.count("*").cast("double").alias("n"))
+    whole = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return whole.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)) / F.col("norm")).alias("vec"), "norm")
+
+
 def encoder(encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[Column], Column]:
     """A provider of vectors as a column function: texts go through in Arrow batches, `batch` at a time."""
 

@@ -92,14 +92,14 @@ def salvaged_json(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT id, {COMPACT.format("v")} AS k FROM samples WHERE id % 18 IN (7, 10, 17)), p AS (SELECT a.id, a.k AS a, b.k AS b FROM s a JOIN s b ON b.id = a.id + 18),
-g AS (SELECT id, 'a' AS side, a AS k FROM p UNION ALL SELECT id, 'b', b FROM p), n AS (SELECT id, side, substr(k, i, z) AS gram, count(*)::DOUBLE AS n FROM (SELECT id, side, k, z, unnest(range(1, length(k) - z + 2)) AS i FROM g, (VALUES (2), (3)) t(z)) GROUP BY ALL),
+    f"""WITH s AS (SELECT id, {COMPACT.format("v")} AS k FROM samples), p AS (SELECT a.id, a.k AS a, b.k AS b FROM s a JOIN s b ON b.id = a.id + 18),
+g AS (SELECT id, 'a' AS side, a AS k FROM p UNION ALL SELECT id, 'b', b FROM p), n AS (SELECT id, side, substr(k, i, z) AS gram, count(*)::DOUBLE AS n FROM (SELECT id, side, k, z, unnest(range(1, length(k) - z + 2)) AS i FROM g, (VALUES (2), (3)) t(z)) GROUP BY ALL UNION ALL SELECT id, side, k, 1 FROM g WHERE length(k) = 1),
 sq AS (SELECT id, side, sqrt(sum(n * n)) AS q FROM n GROUP BY ALL), d AS (SELECT x.id, sum(x.n * y.n) AS d FROM n x JOIN n y ON x.id = y.id AND x.gram = y.gram AND x.side = 'a' AND y.side = 'b' GROUP BY 1)
-SELECT p.id, round(coalesce(d, 0) / (a.q * b.q), 6) AS cosine FROM p JOIN sq a ON a.id = p.id AND a.side = 'a' JOIN sq b ON b.id = p.id AND b.side = 'b' LEFT JOIN d ON d.id = p.id""",
+SELECT p.id, round(coalesce(d / (a.q * b.q), 0), 6)::DOUBLE AS cosine FROM p LEFT JOIN sq a ON a.id = p.id AND a.side = 'a' LEFT JOIN sq b ON b.id = p.id AND b.side = 'b' LEFT JOIN d ON d.id = p.id""",
     ("samples",),
 )
 def gram_cosine(t: Tables) -> DataFrame:
-    s = t.fixture("samples").where("id % 18 in (7, 10, 17)")
+    s = t.fixture("samples")
     pairs = s.join(s.select((F.col("id") - 18).alias("id"), F.col("v").alias("w")), "id")
     return pairs.select("id", F.round(X.grams_cosine("v", "w"), 6).alias("cosine"))
 
@@ -107,7 +107,7 @@ def gram_cosine(t: Tables) -> DataFrame:
 @query(None)
 def lcs_similarity(t: Tables) -> DataFrame:
     """Longest common subsequences (no such function in the oracle's engine): the tests hold it against the definition."""
-    s = t.fixture("samples").where("id % 18 in (7, 9, 11)")
+    s = t.fixture("samples")
     return s.join(s.select((F.col("id") - 18).alias("id"), F.col("v").alias("w")), "id").select("id", F.round(X.lcs_similarity("v", "w"), 6).alias("similarity"))
 
 
@@ -142,7 +142,7 @@ def gutter_bands(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH comps AS (SELECT vec_id AS comp, vec_id % 17 AS r0, vec_id % 17 + 2 AS r1, 8 + vec_id % 7 AS c0, 10 + vec_id % 7 AS c1 FROM embeddings WHERE vec_id % 10 = 0), cont AS (SELECT r, c FROM patches WHERE (idx * 7919 + 13) % 100 < 45),
+    """WITH comps AS (SELECT vec_id AS comp, vec_id % 17 AS r0, vec_id % 17 + 2 AS r1, 8 + vec_id % 7 AS c0, 10 + vec_id % 7 AS c1 FROM embeddings), cont AS (SELECT r, c FROM patches WHERE (idx * 7919 + 13) % 100 < 45),
 good AS (SELECT DISTINCT comp, c0, c1, c FROM comps JOIN cont ON r BETWEEN r0 AND r1 WHERE c NOT IN (5, 20)),
 walk AS (SELECT comp, c0, c1, c1 - c0 + 1 AS w, 'l' AS side FROM comps UNION ALL
   SELECT w.comp, CASE WHEN w.side = 'l' AND gl.c IS NOT NULL AND w.w < 9 THEN w.c0 - 1 ELSE w.c0 END, CASE WHEN w.side = 'r' THEN w.c1 + 1 ELSE w.c1 END, CASE WHEN (w.side = 'l' AND gl.c IS NOT NULL AND w.w < 9) OR w.side = 'r' THEN w.w + 1 ELSE w.w END, CASE WHEN w.side = 'l' AND gl.c IS NOT NULL AND w.w < 9 THEN 'l' ELSE 'r' END
@@ -153,18 +153,18 @@ SELECT comp, min(c0) AS c0, max(c1) AS c1 FROM walk GROUP BY 1""",
 )
 def band_growth(t: Tables) -> DataFrame:
     v = F.col("vec_id")
-    comps = t("embeddings").where("vec_id % 10 = 0").select(v.alias("comp"), (v % 17).alias("r0"), (v % 17 + 2).alias("r1"), (8 + v % 7).alias("c0"), (10 + v % 7).alias("c1"))
+    comps = t("embeddings").select(v.alias("comp"), (v % 17).alias("r0"), (v % 17 + 2).alias("r1"), (8 + v % 7).alias("c0"), (10 + v % 7).alias("c1"))
     content = t.fixture("patches").where("(idx * 7919 + 13) % 100 < 45").select("r", "c")
     return G.row_bands(comps, content, [5, 20], 25, 9)
 
 
 @query(
-    """WITH b AS (SELECT l_linenumber, x0, x1 FROM (SELECT l_linenumber, (l_partkey % 700) AS x0, (l_partkey % 700) + 25 AS x1 FROM lineitem WHERE l_orderkey < 40))
+    """WITH b AS (SELECT (l_partkey % 6) * 120 AS x0, (l_partkey % 6) * 120 + 50 + l_linenumber AS x1 FROM lineitem)
 SELECT c FROM (SELECT unnest(range(1, 20)) AS c) WHERE NOT EXISTS (SELECT 1 FROM b WHERE c > floor(x0 / 40.0) AND c < ceil(x1 / 40.0))"""
 )
 def free_columns(t: Tables) -> DataFrame:
-    x = F.col("l_partkey") % 700
-    return G.free_columns(t("lineitem").where("l_orderkey < 40").select(x.alias("x0"), (x + 25).alias("x1")), 20, 40)
+    x = F.col("l_partkey") % 6 * 120
+    return G.free_columns(t("lineitem").select(x.alias("x0"), (x + 50 + F.col("l_linenumber")).alias("x1")), 20, 40)
 
 
 @query(
@@ -213,17 +213,13 @@ def _hashed(src: str, keys: str) -> str:
     return f"""SELECT {keys}, b, count(*)::DOUBLE AS n FROM (SELECT {keys}, ('0x' || substr(md5(substr(s, i, 3)), 1, 4))::INT % 64 AS b FROM (SELECT {keys}, s, unnest(range(1, greatest(1, length(s) - 2) + 1)) AS i FROM {src})) GROUP BY ALL"""
 
 
-DOCS = "ds AS (SELECT doc_id, ' ' || lower(substr(coalesce(text, ''), 1, 200)) || ' ' AS s FROM documents), dv AS (" + _hashed("ds", "doc_id") + "), dn AS (SELECT doc_id, sqrt(sum(n * n)) AS n FROM dv GROUP BY 1)"
+DOCS = "ds AS (SELECT doc_id, ' ' || lower(coalesce(text, '')) || ' ' AS s FROM documents), dv AS (" + _hashed("ds", "doc_id") + "), dn AS (SELECT doc_id, sqrt(sum(n * n)) AS n FROM dv GROUP BY 1)"
 
 
 @query(f"WITH {DOCS} SELECT doc_id, round(any_value(dn.n), 6) AS norm, round(coalesce(max(dv.n) FILTER (b = 0), 0) / any_value(dn.n), 6)::DOUBLE AS first, round(max(dv.n) / any_value(dn.n), 6) AS top FROM dv JOIN dn USING (doc_id) GROUP BY 1")
 def hash_embeddings(t: Tables) -> DataFrame:
-    docs = t("documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("text"))
-    once = PR.encode_once(docs, "text", PR.hash_embedding)
-    # a unit vector's components are counts over one length: all counts together are the number of 3-grams
-    grams = F.greatest(F.lit(1), F.length("text")).cast("double")
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
-    return once.select("doc_id", F.round(grams / total, 6).alias("norm"), F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.array_max("vec"), 6).alias("top"))
+    vectors = PR.hash_vectors(t("documents"), "doc_id", "text").select("doc_id", "vec", "norm")
+    return vectors.select("doc_id", F.round("norm", 6).alias("norm"), F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.array_max("vec"), 6).alias("top"))
 
 
 ANCHORS = ", ".join(f"('{c}', {k}, '{x.format(name=n)}')" for c, n in P.LANGUAGE_NAMES.items() for k, x in enumerate(P.LANGUAGE_TEMPLATES)) + ", " + ", ".join(f"('noise', {k}, '{x}')" for k, x in enumerate(P.NOISE_SENTENCES))
@@ -237,7 +233,7 @@ prof AS (SELECT doc_id, code, max(s) AS absolute, max(n) AS neutral FROM c GROUP
 
 
 def _profiles(t: Tables) -> DataFrame:
-    docs = t("documents").select("doc_id", PR.hash_embedding(F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("vec"))
+    docs = PR.hash_vectors(t("documents"), "doc_id", "text")
     return LG.profile(docs, LG.anchors(t.spark, PR.hash_embedding), "doc_id")
 
 
@@ -281,7 +277,7 @@ def prejudice_dominates(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH v AS (SELECT idx AS claim, vec, r // 2 AS r0, r // 2 + 1 AS r1, c // 2 AS c0, c // 2 + 1 AS c1, idx % 7 AS doc, 'f' || (idx % 3)::VARCHAR AS field FROM patches WHERE idx % 10 = 0),
+    f"""WITH v AS (SELECT idx AS claim, vec, r // 2 AS r0, r // 2 + 1 AS r1, c // 2 AS c0, c // 2 + 1 AS c1, idx % 7 AS doc, 'f' || (idx % 3)::VARCHAR AS field FROM patches),
 s AS (SELECT v.claim, list_cosine_similarity(v.vec::DOUBLE[], p.vec::DOUBLE[]) AS sim, p.r BETWEEN r0 AND r1 AND p.c BETWEEN c0 AND c1 AS inside FROM v, patches p),
 a AS (SELECT claim, avg(sim) AS m, greatest(stddev_pop(sim), 1e-6) AS sd, max(sim) FILTER (inside) AS i, max(sim) FILTER (NOT inside) AS o, count(*) FILTER (inside) AS ni, count(*) FILTER (NOT inside) AS no FROM s GROUP BY 1),
 z AS (SELECT claim, (i - m) / sd - sqrt(2 * ln(ni)) AS si, (o - m) / sd - sqrt(2 * ln(no)) AS so FROM a)
@@ -289,10 +285,10 @@ SELECT doc, field FROM v JOIN z USING (claim) GROUP BY doc, field HAVING NOT boo
     ("patches",),
 )
 def ungrounded_fields(t: Tables) -> DataFrame:
-    p = t.fixture("patches")
+    p = t.fixture("patches").withColumn("page", F.lit(1))
     half = lambda c: F.floor(F.col(c) / 2)
-    claims = p.where("idx % 10 = 0").select(F.col("idx").alias("claim"), "vec", half("r").alias("r0"), (half("r") + 1).alias("r1"), half("c").alias("c0"), (half("c") + 1).alias("c1"))
-    verdicts = H.grounded(claims, p).join(p.select(F.col("idx").alias("claim"), (F.col("idx") % 7).alias("doc"), F.concat(F.lit("f"), (F.col("idx") % 3).cast("string")).alias("field")), "claim")
+    claims = p.select("page", F.col("idx").alias("claim"), "vec", half("r").alias("r0"), (half("r") + 1).alias("r1"), half("c").alias("c0"), (half("c") + 1).alias("c1"))
+    verdicts = H.grounded(claims, p, "page").join(p.select(F.col("idx").alias("claim"), (F.col("idx") % 7).alias("doc"), F.concat(F.lit("f"), (F.col("idx") % 3).cast("string")).alias("field")), "claim")
     return H.dropped_fields(verdicts, "doc", "field")
 
 

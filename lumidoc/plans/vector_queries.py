@@ -219,7 +219,7 @@ def decisive_margin(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT idx AS claim, vec, r // 2 AS r0, r // 2 + 4 AS r1, c // 2 AS c0, c // 2 + 6 AS c1 FROM patches WHERE idx % 10 = 0),
+    f"""WITH c AS (SELECT idx AS claim, vec, r // 2 AS r0, r // 2 + 4 AS r1, c // 2 AS c0, c // 2 + 6 AS c1 FROM patches),
 s AS (SELECT c.claim, {COS.format("c.vec", "p.vec")} AS sim, p.r BETWEEN r0 AND r1 AND p.c BETWEEN c0 AND c1 AS inside FROM c, patches p),
 a AS (SELECT claim, avg(sim) AS m, greatest(stddev_pop(sim), 1e-6) AS sd, max(sim) FILTER (inside) AS i, max(sim) FILTER (NOT inside) AS o, count(*) FILTER (inside) AS ni, count(*) FILTER (NOT inside) AS no FROM s GROUP BY 1),
 z AS (SELECT claim, (i - m) / sd - sqrt(2 * ln(ni)) AS s_in, (o - m) / sd - sqrt(2 * ln(no)) AS s_out FROM a)
@@ -227,10 +227,10 @@ SELECT claim, round(s_in, 5) AS s_in, round(s_out, 5) AS s_out, s_in >= s_out OR
     ("patches",),
 )
 def grounding_verdicts(t: Tables) -> DataFrame:
-    p = t.fixture("patches")
+    p = t.fixture("patches").withColumn("page", F.lit(1))
     half = lambda c: F.floor(F.col(c) / 2)
-    claims = p.where("idx % 10 = 0").select(F.col("idx").alias("claim"), "vec", half("r").alias("r0"), (half("r") + 4).alias("r1"), half("c").alias("c0"), (half("c") + 6).alias("c1"))
-    v = H.grounded(claims, p)
+    claims = p.select("page", F.col("idx").alias("claim"), "vec", half("r").alias("r0"), (half("r") + 4).alias("r1"), half("c").alias("c0"), (half("c") + 6).alias("c1"))
+    v = H.grounded(claims, p, "page")
     return v.select("claim", F.round("s_in", 5).alias("s_in"), F.round("s_out", 5).alias("s_out"), "accepted")
 
 
@@ -408,7 +408,7 @@ def table_band(t: Tables) -> DataFrame:
     return H.dense_band(rows, 1)
 
 
-WINDOWS = "SELECT a.doc, a.s, (a.s + k)::INT AS e, 'f' || ((a.s + k * 3) % 4)::VARCHAR AS field, round(((a.s * 7 + k * 13 + a.doc) % 19) / 10.0 - 0.4, 4)::DOUBLE AS score FROM (SELECT o_orderkey AS doc, unnest(range(0, 20))::INT AS s FROM orders WHERE o_orderkey % 10 = 0) a, range(1, 7) t(k) WHERE a.s + k <= 20"
+WINDOWS = "SELECT a.doc, a.s, (a.s + k)::INT AS e, 'f' || ((a.s + k * 3) % 4)::VARCHAR AS field, round(((a.s * 7 + k * 13 + a.doc) % 19) / 10.0 - 0.4, 4)::DOUBLE AS score FROM (SELECT o_orderkey AS doc, unnest(range(0, 20))::INT AS s FROM orders) a, range(1, 7) t(k) WHERE a.s + k <= 20"
 
 
 @query(
@@ -423,7 +423,7 @@ walk AS (SELECT * FROM g WHERE s = 0 UNION ALL SELECT g.* FROM walk JOIN g ON g.
 SELECT doc, s, e, field, score FROM walk"""
 )
 def plinko(t: Tables) -> DataFrame:
-    docs = t("orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("doc"))
+    docs = t("orders").select(F.col("o_orderkey").alias("doc"))
     a = docs.select("doc", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("s")).select("doc", "s", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k")).where("s + k <= 20")
     win = a.select("doc", "s", (F.col("s") + F.col("k")).alias("e"), F.concat(F.lit("f"), ((F.col("s") + F.col("k") * 3) % 4).cast("string")).alias("field"), F.round(((F.col("s") * 7 + F.col("k") * 13 + F.col("doc")) % 19) / 10.0 - 0.4, 4).alias("score"))
     return N.plinko(win, docs.withColumn("n_words", F.lit(20)))
