@@ -238,3 +238,15 @@ def apply_arena(scores: DataFrame, territories: DataFrame, verdicts: DataFrame,
     page = page or []
     owned = verdicts.select(*page, "idx", F.col("winner").alias("category"))
     return scores.join(owned, [*page, "idx", "category"], "left_semi").join(territories.where("not absent").select(*page, "category"), [*page, "category"], "left_semi")
+
+
+def territory_scores(verdicts: DataFrame, patches: DataFrame, category: str) -> DataFrame:
+    """(idx, score) for every patch: the margin where the category owns it, else null."""
+    own = verdicts.where(F.col("winner") == category).select("idx", (F.col("score") - F.col("floor")).alias("score"))
+    return patches.select("idx").join(own, "idx", "left")
+
+
+def present(territories: DataFrame, scores: DataFrame) -> DataFrame:
+    """(category) that are not absent and own a patch or have a score anywhere."""
+    some = scores.where("score is not null").select("category").distinct().withColumn("some", F.lit(True))
+    return territories.join(some, "category", "left").where("not absent and (patches > 0 or some)").select("category")

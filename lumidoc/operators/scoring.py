@@ -256,3 +256,28 @@ def top_k(queries: DataFrame, store: DataFrame, qid: str, rid: str, k: int, vec:
         return spark.createDataFrame([], shape + ", rank int")
     rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.col("score").desc(), rid))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def net_scores(vectors: DataFrame, bank: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """(key, field, net): the greatest bias cosine less the greatest prejudice cosine, weights and signs aside; 0 for an empty side."""
+    pooled = max_pool(vectors, bank.withColumn("weight", F.lit(1.0)), key, ["field", "kind"], vec)
+    side = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
+    return pooled.groupBy(key, "field").agg((side("bias") - side("prejudice")).alias("net"))
+
+
+def space_quality(pairs: DataFrame) -> DataFrame:
+    """(good, bad, gap, verdict) of pairs(same BOOLEAN, a, b): does an encoder's space keep like pairs closer than unlike ones?"""
+    rows = pairs.select("same", cosine(F.col("a"), F.col("b")).alias("c"))
+    means = rows.agg(F.avg(F.when(F.col("same"), F.col("c"))).alias("good"), F.avg(F.when(~F.col("same"), F.col("c"))).alias("bad"))
+    gap = F.col("good") - F.col("bad")
+    return means.select("good", "bad", gap.alias("gap"), F.when(gap >= 0.10, "good").when(gap > 0.02, "weak").otherwise("collapsed").alias("verdict"))
+
+
+def kv_bytes(layers: Column, heads: Column, dim: Column, tokens: Column, width: int = 2) -> Column:
+    """Bytes of a key and value cache."""
+    return (2 * layers * heads * dim * width * tokens).cast("bigint")
+
+
+def score_matrix(scores: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row for each key, one column for each field; null where there is no score."""
+    return scores.groupBy(key).pivot("field", fields).agg(F.max("surprisal"))

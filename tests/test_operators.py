@@ -208,3 +208,13 @@ def test_encode_once(spark):
     wide = lambda c: F.array_repeat(F.lit(1.0), 3)
     assert one(spark, PR.routed(F.lit("x"), [wide, PR.hash_embedding], 64)) is not None
     assert one(spark, PR.routed(F.lit("x"), [wide], 2)) == [0.0, 0.0]
+
+
+def test_prose_field(spark):
+    texts = spark.createDataFrame([(1, "abcd"), (2, "x" * 30), (3, "y" * 400), (4, "")], "id int, text string")
+    scores = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.5), (2, "a", 0.500), (2, "b", 0.495)], "id int, field string, score double")
+    lengths = spark.createDataFrame([("a", 3, 10), ("b", 20, 28), ("c", 100, 150)], "field string, typical int, capacity int")
+    from lumidoc.operators import forms as FM
+
+    got = {r.id: (r.field, r.how) for r in FM.prose_field(texts, scores, lengths, "id", "last").collect()}
+    assert got == {1: ("a", "index"), 2: ("b", "capacity"), 3: ("c", "length"), 4: ("last", "fallback")}
