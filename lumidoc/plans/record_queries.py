@@ -111,7 +111,7 @@ def label_match(t: Tables) -> DataFrame:
     return m.select("id", "field", F.round("score", 6).alias("score"), "rival", F.round("rival_score", 6).alias("rival_score"))
 
 
-@query("SELECT id % 50 AS field, list_sort(list(n))[count(*) // 2 + 1] AS typical, list_sort(list(n))[least(count(*) - 1, floor(count(*) * 0.9))::INT + 1] AS capacity FROM (SELECT id, length(regexp_replace(v, '\\s+', '', 'g')) AS n FROM samples) WHERE n > 0 GROUP BY 1", ("samples",))
+@query("SELECT id % 50 AS field, list_sort(list(n))[count(*) // 2 + 1]::INT AS typical, list_sort(list(n))[least(count(*) - 1, floor(count(*) * 0.9))::INT + 1]::INT AS capacity FROM (SELECT id, length(regexp_replace(v, '\\s+', '', 'g')) AS n FROM samples) WHERE n > 0 GROUP BY 1", ("samples",))
 def value_lengths(t: Tables) -> DataFrame:
     return B.value_lengths(t.fixture("samples").select((F.col("id") % 50).alias("field"), F.col("v").alias("text")))
 
@@ -119,7 +119,7 @@ def value_lengths(t: Tables) -> DataFrame:
 @query(
     """WITH n AS (SELECT conv_id, count(*) * 3 AS n FROM conversations GROUP BY 1), p AS (SELECT conv_id, n, greatest(1, least(6, greatest(1, round_even(n / 12.0, 0)::INT + 1))) AS g FROM n),
 s AS (SELECT conv_id, n, CASE WHEN n > 12 AND g > 1 THEN g ELSE 1 END AS stride, CASE WHEN n > 12 AND g > 1 THEN g ELSE 2 END AS width FROM p)
-SELECT conv_id, k * stride AS "start", least(n, k * stride + width) AS "end" FROM (SELECT *, unnest(range(0, greatest(0, ceil((n - width) / stride::DOUBLE))::INT + 1)) AS k FROM s)"""
+SELECT conv_id, (k * stride)::INT AS "start", least(n, k * stride + width) AS "end" FROM (SELECT *, unnest(range(0, greatest(0, ceil((n - width) / stride::DOUBLE))::INT + 1)) AS k FROM s)"""
 )
 def line_windows(t: Tables) -> DataFrame:
     pages = t("conversations").groupBy("conv_id").agg((F.count("*") * 3).alias("n"))
