@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..ship import shipped
 
 #: Rows and bytes that one Arrow batch may carry into a Python worker; bounds the worker's memory.
-ARROW_ROWS = "1000"
-ARROW_BYTES = "8m"
+ARROW_ROWS = "500"
+ARROW_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:

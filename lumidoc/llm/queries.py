@@ -19,7 +19,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = pieces.decode(pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    read = pieces.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return read.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.length("text").alias("n_chars_decoded"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -39,6 +39,7 @@ def test_round_trip_on_spark(spark):
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, ids int, key string")
     got = pieces.decode(pieces.encode(df)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    assert sorted(map(str, got)) == sorted(map(str, pieces.round_trip(df).collect()))
     assert all(r.ids == (None if r.text is None else SP.encode(r.text)) for r in got)
 
 
