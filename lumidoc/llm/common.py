@@ -25,10 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back. Survives lost executors."""
+def written(df: DataFrame, name: str, fewer: int = 1) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back. Survives lost executors.
+
+    fewer: for tables that are small beside what they come from, how many times fewer files than shuffle partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumidoc/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if fewer > 1:
+        df = df.coalesce(max(2, shuffle_width(spark) // fewer))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

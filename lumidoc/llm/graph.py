@@ -16,14 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder. No edges: an empty result. Repeated edges and loops change nothing.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    both = written(both.distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    both = written(both.distinct(), "edges", 8)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels", 8)
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         own = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("hop"))
-        own = written(own, "hops")
+        own = written(own, "hops", 8)
         jump = own.select(F.col("node").alias("hop"), F.col("hop").alias("far"))
-        after = written(own.join(jump, "hop").select("node", "old", F.least("hop", "far").alias("label")), "labels")
+        after = written(own.join(jump, "hop").select("node", "old", F.least("hop", "far").alias("label")), "labels", 8)
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
             return labels

@@ -164,7 +164,7 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", te
     whole = found.where("seg < 0").groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "path", "license")).alias("one"))
     holders = whole.select("dir", F.col("one.license").alias("license"))
     named = rows.select("id", "path", "mark", directory(F.col("path")).alias("dir"))
-    given = written(inherited(named.select("dir").distinct(), holders).withColumnRenamed("license", "given"), "directories")
+    given = written(inherited(named.select("dir").distinct(), holders).withColumnRenamed("license", "given"), "directories", 8)
     if given.count() <= BROADCAST_ROWS:  # else the join shuffles, and a directory of many files is split
         given = F.broadcast(given)
     joined = named.join(own, ["path", "mark"], "left").join(given, "dir", "left")

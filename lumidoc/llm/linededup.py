@@ -62,11 +62,11 @@ def _links(lines: DataFrame, classes: DataFrame, near_chars: int) -> DataFrame:
     """(h1, h2) of the classes that have an earlier one within one edit."""
     long = lines.where(F.col("n") >= near_chars)
     keyed = long.select("line", "n", "h1", "h2", F.explode(_keys(F.col("line"), F.col("n"), 2)).alias("k")).select("line", "h1", "h2", F.col("k.key").alias("key"))
-    halves = written(_met(keyed.select("key", "h1", "h2")), "halves")
+    halves = written(_met(keyed.select("key", "h1", "h2")), "halves", 4)
     if halves.count() <= BROADCAST_ROWS:
         halves = F.broadcast(halves)
     near = keyed.join(halves, "key", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    near = written(near.join(classes.select("h1", "h2", "place"), ["h1", "h2"]), "near-lines")
+    near = written(near.join(classes.select("h1", "h2", "place"), ["h1", "h2"]), "near-lines", 4)
 
     parts = near.select("h1", "h2", "place", "line", F.length("line").alias("n"), F.explode(_keys(F.col("line"), F.length("line"), 8)).alias("k"))
     parts = parts.select("h1", "h2", "place", "line", "n", F.col("k.i").alias("i"), F.col("k.longer").alias("longer"), F.col("k.key").alias("key"))
@@ -77,7 +77,7 @@ def _links(lines: DataFrame, classes: DataFrame, near_chars: int) -> DataFrame:
     at = F.explode(F.when(whole & (F.length("open") > 0), F.sequence(F.lit(1), F.length("open"))).when(~whole, F.array(F.lit(0))))
     variants = parts.select("h1", "h2", "place", "key", "open", at.alias("at"))
     rest = F.when(F.col("at") == 0, F.col("open")).otherwise(F.concat(F.substring(F.col("open"), F.lit(1), F.col("at") - 1), F.substring(F.col("open"), F.col("at") + 1, F.length("open"))))
-    variants = written(variants.select("h1", "h2", "place", "key", "at", F.xxhash64(rest).alias("variant")), "variants")
+    variants = written(variants.select("h1", "h2", "place", "key", "at", F.xxhash64(rest).alias("variant")), "variants", 4)
 
     own = F.struct("place", "h1", "h2")
     same = variants.where("at > 0").groupBy("key", "at", "variant").agg(F.min(own).alias("early"), F.max(own).alias("late")).where("early <> late").drop("late")
@@ -96,7 +96,7 @@ def _links(lines: DataFrame, classes: DataFrame, near_chars: int) -> DataFrame:
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """(id, mark, kept): the numbers of the lines that stay, of each document that keeps any."""
     lines = _lines(docs, id_col, text_col)
-    classes = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "at")).alias("place")), "line-classes")
+    classes = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "at")).alias("place")), "line-classes", 4)
     dropped = _links(lines, classes, near_chars)
     stay = classes.join(dropped, ["h1", "h2"], "left_anti")
     return stay.groupBy(F.col("place.id").alias("id"), F.col("place.mark").alias("mark")).agg(F.collect_list("place.at").alias("kept"))

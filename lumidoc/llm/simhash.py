@@ -162,7 +162,7 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     while True:
         keyed = _bucketed(rows, level, radius)
         sizes = keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1")
-        met = written(keyed.join(sizes, ["m", "v"]), f"buckets{level}")
+        met = written(keyed.join(sizes, ["m", "v"]), f"buckets{level}", 4)
         last = level == 2 or met.where(F.col("n") > bucket).isEmpty()
         small = met if last else met.where(F.col("n") <= bucket)
         found.append(_compare(small, radius, shuffle_width(spark)))
@@ -209,11 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with equal fingerprints are one class; classes link at `radius` or fewer differing bits.
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "classes")
+    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "classes", 4)
     label = components(links(classes, radius))
     least = label.join(classes, label.node == classes.fp).groupBy("label").agg(F.min("first").alias("low"))
     moved = label.join(least, "label").select(F.col("node").alias("fp"), "low")
-    named = written(classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")), "named")
+    named = written(classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")), "named", 4)
     # at most BROADCAST_ROWS fingerprints can have more rows than this: they are sent to every executor, the others shuffle
     often = max(100, (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) // BROADCAST_ROWS)
     hot, rest = F.broadcast(named.where(F.col("n") > often)), named.where(F.col("n") <= often)
@@ -228,11 +228,20 @@ def hex_digits(fp: Column) -> Column:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that name their group: one for each component. Rows without an id are kept as they are.
 
-    Repeated rows of one id count once: the least by its columns' hash stays.
+    Repeated rows of one id count once, one of them stays. The ids that go are few beside the texts: they are sent
+    to the texts while their number allows, else the anti-join shuffles.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, radius)
-    firsts = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__times"))
-    kept = docs.join(firsts, id_col)
-    once = kept.where("__times = 1").drop("__times")
-    repeated = kept.where("__times > 1").drop("__times").dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    found = written(near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, radius).select(id_col, "component_id"), "groups", 4)
+    gone, _ = _sent(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    twice, repeated = _sent(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "twice")
+    rest = docs.join(gone, id_col, "left_anti")
+    if repeated:
+        rest = rest.join(twice, id_col, "left_anti").unionByName(rest.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
+    return rest.select(docs.columns)
+
+
+def _sent(ids: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """ids written, to be broadcast if they are few, and their number."""
+    ids = written(ids, name, 4)
+    n = ids.count()
+    return (F.broadcast(ids) if n <= BROADCAST_ROWS else ids), n

@@ -47,7 +47,7 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     rows = rows.select("*", F.sha1(F.col("body").cast("binary")).alias("digest"))
     long = F.octet_length("body") >= least
     repeated = rows.where(long).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    repeated = written(repeated, "repeated")
+    repeated = written(repeated, "repeated", 8)
     if repeated.count() <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)
     return rows.join(repeated, "digest", "left").select("id", "url", "body", "digest", F.when(long & (F.col("id") != F.col("first")), F.col("first")).alias("refers_to"))
