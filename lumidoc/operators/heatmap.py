@@ -90,11 +90,11 @@ def dense_band(rows: DataFrame, least: int = 2) -> DataFrame:
     return best.select((-F.col("b.less")).alias("r0"), F.col("b.r1").alias("r1"), F.col("b.span").alias("span"))
 
 
-def grid_components(cells: DataFrame, group: str = "category", rounds: int = 64) -> DataFrame:
+def grid_components(cells: DataFrame, group: str = "category") -> DataFrame:
     """(group, r, c, comp) of cells(group, r, c): 4-connected components, named by their least cell number.
 
     Runs of a row are found by windows first; then each run takes the least label of the runs that touch it above
-    and below until nothing changes.
+    and below, and then the label of its label (pointer jumping), until nothing changes.
     """
     order = Window.partitionBy(group, "r").orderBy("c")
     runs = cells.withColumn("island", F.col("c") - F.row_number().over(order))
@@ -104,10 +104,11 @@ def grid_components(cells: DataFrame, group: str = "category", rounds: int = 64)
     edges = spans.join(below, [group, "r"]).where((F.col("c0") <= F.col("d1")) & (F.col("d0") <= F.col("c1"))).select(group, F.col("node").alias("a"), "b")
     edges = settled(edges.unionByName(edges.select(group, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = settled(spans.select(group, "node", F.col("node").alias("comp")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(group, F.col("node").alias("b"), "comp"), [group, "b"]).groupBy(group, F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        after = labels.join(near, [group, "node"], "left").select(group, "node", F.least("comp", F.coalesce("low", "comp")).alias("comp"), (F.col("low") < F.col("comp")).alias("moved"))
-        after = settled(after)
+        hops = settled(labels.join(near, [group, "node"], "left").select(group, "node", F.col("comp").alias("old"), F.least("comp", F.coalesce("low", "comp")).alias("hop")))
+        jump = hops.select(group, F.col("node").alias("hop"), F.col("hop").alias("comp"))
+        after = settled(hops.join(jump, [group, "hop"]).select(group, "node", "comp", (F.col("comp") < F.col("old")).alias("moved")))
         labels = after.drop("moved")
         if after.where("moved").isEmpty():
             break

@@ -218,3 +218,13 @@ def test_prose_field(spark):
 
     got = {r.id: (r.field, r.how) for r in FM.prose_field(texts, scores, lengths, "id", "last").collect()}
     assert got == {1: ("a", "index"), 2: ("b", "capacity"), 3: ("c", "length"), 4: ("last", "fallback")}
+
+
+def test_grid_components_longer_than_any_number_of_rounds(spark):
+    from lumidoc.operators import heatmap as H
+
+    stripe = [("a", r, 3) for r in range(300)]
+    snake = [("b", r, c) for r in range(0, 240, 2) for c in range(4)] + [("b", r, 3 if r % 4 == 1 else 0) for r in range(1, 239, 2)]
+    apart = [("a", r, 5) for r in range(0, 300, 2)]
+    got = {(x.category, x.r, x.c): x.comp for x in H.grid_components(spark.createDataFrame(stripe + snake + apart, "category string, r int, c int")).collect()}
+    assert got == {k: 3 for k in stripe} | {k: 0 for k in snake} | {k: k[1] * 100000 + 5 for k in apart}
