@@ -85,6 +85,7 @@ def _units(line: str, words: int, least_chars: int) -> list[int]:
     return [0] * (len(line) + 1 >= least_chars) + [1] * (len(line.split()) + 1 >= words)
 
 
+@lru_cache(1 << 12)
 def _classes(n: int) -> list[int]:
     """Least lengths of the length classes in which a sequence of n elements meets others: its own class and, where
     that begins with n, the one below, so that n and n + 1 always share one."""
@@ -98,14 +99,23 @@ def _classes(n: int) -> list[int]:
 def half_keys(line: str, words: int = WORDS, least_chars: int = 0) -> list[int]:
     """Hashes of the first and last half, for each unit and length class; signed."""
     out = []
-    for unit in _units(line, words, least_chars):
-        x = line.split() if unit else line
-        for c in _classes(len(x)):
-            h = c // 2
-            for side, part in ((0, x[:h]), (1, x[len(x) - h :])):
-                raw = (" ".join(part) if unit else part).encode("utf-8", "surrogatepass")
-                out.append(xxhash.xxh64_intdigest(raw, (c << 2) + 2 * unit + side))
-    return np.array(out, np.uint64).view(np.int64).tolist()
+    if len(line) + 1 >= least_chars:
+        for c in _classes(len(line)):
+            h = c >> 1
+            out.append(_hash(line[:h], c << 2))
+            out.append(_hash(line[len(line) - h :], (c << 2) + 1))
+    parts = line.split()
+    if len(parts) + 1 >= words:
+        for c in _classes(len(parts)):
+            h = c >> 1
+            out.append(_hash(" ".join(parts[:h]), (c << 2) + 2))
+            out.append(_hash(" ".join(parts[len(parts) - h :]), (c << 2) + 3))
+    return out
+
+
+def _hash(text: str, seed: int) -> int:
+    x = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _segments(line: str, words: int, least_chars: int) -> list[tuple[int, int, np.ndarray, list[int], list[tuple[int, int]]]]:
@@ -186,22 +196,17 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
-def _scan(rows: DataFrame, words: int | None, least_chars: int) -> DataFrame:
-    """(id, mark, at, h1, h2) of every line that isn't blank; with words: (key, h1, h2) of all keys of these lines."""
+def _scan(rows: DataFrame, words: int, least_chars: int) -> DataFrame:
+    """(id, mark, at, h1, h2, keys) of every line that isn't blank; keys: its half_keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, at, h1, h2, keys = [], [], [], [], []
 
             def close() -> pa.RecordBatch:
-                a, b = np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64)
-                if words is None:
-                    places = pa.array(row, pa.int64())
-                    cols = [batch.column(0).take(places), batch.column(1).take(places), pa.array(at, pa.int32()), pa.array(a), pa.array(b)]
-                    return pa.RecordBatch.from_arrays(cols, names=["id", "mark", "at", "h1", "h2"])
-                times = [len(k) for k in keys]
-                cols = [pa.array([x for k in keys for x in k], pa.int64()), pa.array(np.repeat(a, times)), pa.array(np.repeat(b, times))]
-                return pa.RecordBatch.from_arrays(cols, names=["key", "h1", "h2"])
+                places = pa.array(row, pa.int64())
+                hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.array(at, pa.int32()), *hashes, pa.array(keys, pa.list_(pa.int64()))], names=["id", "mark", "at", "h1", "h2", "keys"])
 
             for k, text in enumerate(batch.column(2).to_pylist()):
                 for n, line in enumerate(text.split("\n") if text else ()):
@@ -209,22 +214,19 @@ def _scan(rows: DataFrame, words: int | None, least_chars: int) -> DataFrame:
                     if not line:
                         continue
                     raw = line.encode("utf-8", "surrogatepass")
+                    row.append(k)
+                    at.append(n)
                     h1.append(xxhash.xxh64_intdigest(raw, 1))
                     h2.append(xxhash.xxh64_intdigest(raw, 2))
-                    if words is None:
-                        row.append(k)
-                        at.append(n)
-                    else:
-                        keys.append(half_keys(line, words, least_chars))
+                    keys.append(half_keys(line, words, least_chars))
                     if len(h1) >= BATCH:
                         yield close()
                         row, at, h1, h2, keys = [], [], [], [], []
             yield close()
 
-    kind = rows.schema["id"].dataType
-    long, whole = T.LongType(), T.IntegerType()
-    places = [("id", kind), ("mark", long), ("at", whole), ("h1", long), ("h2", long)]
-    return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in (places if words is None else [("key", long), ("h1", long), ("h2", long)])]))
+    long = T.LongType()
+    kinds = [("id", rows.schema["id"].dataType), ("mark", long), ("at", T.IntegerType()), ("h1", long), ("h2", long), ("keys", T.ArrayType(long))]
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in kinds]))
 
 
 def _met(keyed: DataFrame) -> DataFrame:
@@ -240,7 +242,9 @@ def _sent(df: DataFrame, name: str) -> DataFrame:
 def _texts(rows: DataFrame, near_lines: DataFrame) -> DataFrame:
     """(h1, h2, place, line) of near_lines(h1, h2, place), read from the documents at these places."""
     wanted = near_lines.groupBy(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")).agg(F.collect_list(F.struct("h1", "h2", "place")).alias("wanted"))
-    wanted = _sent(wanted, "line-places")
+    wanted = written(wanted, "line-places", 4)
+    if (wanted.agg(F.sum(F.size("wanted")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
     each = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     each = each.select("w.h1", "w.h2", "w.place", F.btrim(F.element_at("lines", F.col("w.place.at") + 1), F.lit(_AROUND)).alias("line"))
@@ -289,9 +293,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, words: int, least_chars: int)
 
 def _links(rows: DataFrame, classes: DataFrame, words: int, least_chars: int) -> DataFrame:
     """(h1, h2) of the classes that have an earlier one within one edit."""
-    keyed = _scan(rows, words, least_chars)
+    keyed = classes.select(F.explode("keys").alias("key"), "h1", "h2")
     some = keyed.join(_sent(_met(keyed.select("key", "h1")), "halves"), "key", "left_semi").select("h1", "h2").distinct()
-    lines = written(_texts(rows, classes.join(some, ["h1", "h2"])), "near-lines", 4)
+    lines = written(_texts(rows, classes.drop("keys").join(some, ["h1", "h2"])), "near-lines", 4)
 
     parts = _keyed(lines, words, least_chars)
     met = parts.join(_met(parts.select("key", "h1")), "key").groupBy("h1", "h2").agg(F.collect_set("key").alias("met"))
@@ -311,8 +315,8 @@ def _links(rows: DataFrame, classes: DataFrame, words: int, least_chars: int) ->
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least_chars: int = 0) -> DataFrame:
     """(id, mark, kept): the numbers of the lines that stay, of each document that keeps any."""
     rows = _rows(docs, id_col, text_col)
-    classes = written(_scan(rows, None, 0).groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "at")).alias("place")), "line-classes", 4)
-    stay = classes.join(_links(rows, classes, words, least_chars), ["h1", "h2"], "left_anti")
+    classes = written(_scan(rows, words, least_chars).groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "at")).alias("place"), F.first("keys").alias("keys")), "line-classes", 4)
+    stay = classes.drop("keys").join(_links(rows, classes, words, least_chars), ["h1", "h2"], "left_anti")
     return stay.groupBy(F.col("place.id").alias("id"), F.col("place.mark").alias("mark")).agg(F.collect_list("place.at").alias("kept"))
 
 
