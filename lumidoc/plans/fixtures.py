@@ -96,4 +96,31 @@ UNION ALL SELECT o_orderkey, 'logistics', 'reference_bl', 'BL-' || CAST(o_custke
 UNION ALL SELECT o_orderkey, 'conditions', 'priority', o_orderpriority FROM {orders}""",
         ("orders",),
     ),
+    # texts of schema fields by key and language
+    "schema_texts": (
+        """
+SELECT 'd' || CAST(o_custkey % 4 AS STRING) AS doc_type, 'f_' || CAST(o_custkey % 40 AS STRING) AS field, o_orderkey AS ord,
+  CASE o_orderkey % 5 WHEN 0 THEN 'semantic' WHEN 1 THEN 'label' WHEN 2 THEN 'bias' WHEN 3 THEN 'value' ELSE 'prejudice' END AS key,
+  CASE o_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ko' ELSE '*' END AS lang,
+  CASE WHEN o_orderkey % 17 = 0 THEN '-' WHEN o_orderkey % 19 = 0 THEN ' ' WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) || ' ' || CAST(o_orderkey % 13 AS STRING) ELSE ' ' || o_orderpriority || ' ' || CAST(o_orderkey % 13 AS STRING) END AS text
+FROM {orders}""",
+        ("orders",),
+    ),
+    # schema fields
+    "schema_fields": (
+        """
+SELECT 'f_' || CAST(c_custkey AS STRING) AS field, c_custkey AS ord, CASE WHEN c_nationkey = 3 THEN '' ELSE 'c' || CAST(c_nationkey AS STRING) END AS category,
+  CASE c_custkey % 6 WHEN 0 THEN 'Numeric' WHEN 1 THEN '' WHEN 2 THEN ' date ' WHEN 3 THEN 'odd' ELSE NULL END AS format,
+  c_custkey % 97 = 0 AS is_array, c_custkey % 89 = 0 AS is_table, c_custkey % 83 = 0 AS top_region
+FROM {customer}""",
+        ("customer",),
+    ),
+    # chunks with a field each
+    "chunks": (
+        """
+SELECT id, v AS text, CASE WHEN id % 5 = 0 THEN 'unclassified' WHEN id % 7 = 0 THEN NULL ELSE 'f_' || CAST(id % 40 AS STRING) END AS property,
+  CASE WHEN id % 4 = 0 THEN substr(v, 3) WHEN id % 4 = 1 THEN '' ELSE NULL END AS value_part, id % 9 = 0 AS confirmed, 'alive' AS status
+FROM {samples}""",
+        ("samples",),
+    ),
 }
