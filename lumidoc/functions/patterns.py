@@ -4,20 +4,24 @@ Classes are written out, so that they mean the same in every engine: a word char
 [\\p{L}], a digit [\\p{Nd}].
 """
 
+# White space, as a class's content; digits are those of all scripts.
+BLANKS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_AMOUNT = rf"{BLANKS},.'\x{{66b}}\x{{66c}}"
+
 # Shapes of field values.
 DATE_LITERAL = (
-    r"([0-9]{4}[\s]*[^\p{L}\p{N}_\s]?[\s]*[0-9]{1,2}[\s]*[^\p{L}\p{N}_\s]?[\s]*[0-9]{1,2})"
-    r"|([0-9]{1,2}[\s]*[^\p{L}\p{N}_\s][\s]*[0-9]{1,2}[\s]*[^\p{L}\p{N}_\s][\s]*[0-9]{2,4})"
-    r"|([0-9]{1,2}[\s]+[\p{L}]{3,12}\.?[\s]+[0-9]{2,4})"
-    r"|([\p{L}]{3,12}\.?[\s]+[0-9]{1,2},?[\s]+[0-9]{4})"
+    rf"(\p{{Nd}}{{4}}[{BLANKS}]*[^\p{{L}}\p{{N}}_{BLANKS}]?[{BLANKS}]*\p{{Nd}}{{1,2}}[{BLANKS}]*[^\p{{L}}\p{{N}}_{BLANKS}]?[{BLANKS}]*\p{{Nd}}{{1,2}})"
+    rf"|(\p{{Nd}}{{1,2}}[{BLANKS}]*[^\p{{L}}\p{{N}}_{BLANKS}][{BLANKS}]*\p{{Nd}}{{1,2}}[{BLANKS}]*[^\p{{L}}\p{{N}}_{BLANKS}][{BLANKS}]*\p{{Nd}}{{2,4}})"
+    rf"|(\p{{Nd}}{{1,2}}[{BLANKS}]+\p{{L}}{{3,12}}\.?[{BLANKS}]+\p{{Nd}}{{2,4}})"
+    rf"|(\p{{L}}{{3,12}}\.?[{BLANKS}]+\p{{Nd}}{{1,2}},?[{BLANKS}]+\p{{Nd}}{{4}})"
 )
-LINK = r"(?i)(https?://)|(^[\s]*/)|([\s]/[^\s]{2,})|((www|ftp)\.)"
-EMAIL = r"[^@\s]+@[^@\s]+\.[\p{L}]{2,}"
-CODE_TOKEN = r"[\p{L}]{1,6}[\s]*[-_/]?[\s]*[0-9]{3,}|[0-9]{3,}[\s]*[-_/][\s]*[\p{L}]{1,6}"
-TRACKING = r"\b([\p{L}]{2,4}[0-9]{6,}|[0-9]{9,}|[0-9]{4}[- ][0-9]{4}[- ][0-9]{4})\b"
-PHONE = r"(\+?[0-9]{1,4}[\s\-.()]{0,3})?([0-9][\s\-.()]{0,3}){6,14}[0-9]"
-NUMERIC = r"[0-9]"
-PURE_NUMERIC = r"^[-+]?[0-9\s,.']*[0-9][0-9\s,.']*[\s]*[%‰°]?[\s]*[\p{L}]{0,4}$"
+LINK = rf"(?i)(https?://)|(^[{BLANKS}]*/)|([{BLANKS}]/[^{BLANKS}]{{2,}})|((www|ftp)\.)"
+EMAIL = rf"[^@{BLANKS}]+@[^@{BLANKS}]+\.\p{{L}}{{2,}}"
+CODE_TOKEN = rf"\p{{L}}{{1,6}}[{BLANKS}]*[-_/]?[{BLANKS}]*\p{{Nd}}{{3,}}|\p{{Nd}}{{3,}}[{BLANKS}]*[-_/][{BLANKS}]*\p{{L}}{{1,6}}"
+TRACKING = r"(^|[^\p{L}\p{N}_])(\p{L}{2,4}\p{Nd}{6,}|\p{Nd}{9,}|\p{Nd}{4}[- ]\p{Nd}{4}[- ]\p{Nd}{4})($|[^\p{L}\p{N}_])"
+PHONE = rf"(\+?\p{{Nd}}{{1,4}}[{BLANKS}\-.()]{{0,3}})?(\p{{Nd}}[{BLANKS}\-.()]{{0,3}}){{6,14}}\p{{Nd}}"
+NUMERIC = r"\p{Nd}"
+PURE_NUMERIC = rf"^[-+]?[\p{{Nd}}{_AMOUNT}]*\p{{Nd}}[\p{{Nd}}{_AMOUNT}]*[{BLANKS}]*[%‰°]?[{BLANKS}]*\p{{L}}{{0,4}}$"
 
 FORMATS = ["date", "tracking_code", "identifier", "link", "numeric", "enum", "phone", "address", "synthesis", "text"]
 

@@ -16,7 +16,7 @@ def _c(x: Text) -> Column:
 
 def trimmed(v: Text) -> Column:
     """Without white space around it; null counts as empty."""
-    return F.regexp_replace(F.coalesce(_c(v), F.lit("")), r"^[\s]+|[\s]+$", "")
+    return F.regexp_replace(F.coalesce(_c(v), F.lit("")), rf"^[{P.BLANKS}]+|[{P.BLANKS}]+$", "")
 
 
 def digit_count(v: Text) -> Column:

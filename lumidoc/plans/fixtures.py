@@ -123,4 +123,12 @@ SELECT id, v AS text, CASE WHEN id % 5 = 0 THEN 'unclassified' WHEN id % 7 = 0 T
 FROM {samples}""",
         ("samples",),
     ),
+    # values with digits and blanks of other scripts
+    "wide_samples": (
+        """
+SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN '٣٤٥' WHEN 1 THEN '1 234,50' WHEN 2 THEN '０１０　１２３４５６７' WHEN 3 THEN '２０２４-０１-０２' WHEN 4 THEN '3 March 2021'
+  WHEN 5 THEN 'AB ٣٤٥' WHEN 6 THEN '١٬٢٣٤٫٥' WHEN 7 THEN ' 　' WHEN 8 THEN 'x /path' ELSE 'nothing here' END AS v
+FROM {part}""",
+        ("part",),
+    ),
 }

@@ -16,7 +16,8 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-TRIM = r"regexp_replace({}, '^[\s]+|[\s]+$', '', 'g')"
+_BLANKS = P.BLANKS.replace("{", "{{").replace("}", "}}")
+TRIM = f"regexp_replace({{}}, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
 COMPACT = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 LABEL = rf"""CASE WHEN t = '' THEN true WHEN len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) > 6 THEN false
   WHEN regexp_matches(t, {q(P.UPPER_LABEL)}) AND NOT regexp_matches(t, '[0-9]') THEN true ELSE """
@@ -26,7 +27,7 @@ LABEL = rf"""CASE WHEN t = '' THEN true WHEN len(list_filter(regexp_split_to_arr
     rf"""
 WITH f(fmt) AS (VALUES {", ".join(f"('{x}')" for x in P.FORMATS)}), t AS (SELECT id, {TRIM.format("v")} AS v FROM samples),
 n AS (SELECT *, len(regexp_extract_all(v, '\p{{Nd}}')) AS n FROM t)
-SELECT id, fmt, CASE WHEN v = '' THEN false ELSE CASE fmt WHEN 'numeric' THEN regexp_matches(v, '[0-9]') WHEN 'date' THEN regexp_matches(v, {q(P.DATE_LITERAL)}) OR n >= 4
+SELECT id, fmt, CASE WHEN v = '' THEN false ELSE CASE fmt WHEN 'numeric' THEN regexp_matches(v, '\p{{Nd}}') WHEN 'date' THEN regexp_matches(v, {q(P.DATE_LITERAL)}) OR n >= 4
   WHEN 'phone' THEN n >= 7 WHEN 'link' THEN regexp_matches(v, {q(P.LINK)}) OR regexp_matches(v, {q(P.EMAIL)}) WHEN 'tracking_code' THEN regexp_matches(v, {q(P.TRACKING)}) OR n >= 6
   WHEN 'identifier' THEN regexp_matches(v, {q(P.CODE_TOKEN)}) OR n >= 3 WHEN 'address' THEN length(v) >= 4 WHEN 'enum' THEN length(v) >= 1
   WHEN 'synthesis' THEN length(v) >= 4 AND regexp_matches(v, '\p{{L}}') ELSE regexp_matches(v, '\p{{L}}') END END AS ok FROM n, f""",
@@ -37,6 +38,33 @@ def format_match(t: Tables) -> DataFrame:
     return t.fixture("samples").crossJoin(F.broadcast(formats)).select("id", "fmt", X.value_matches_format("v", "fmt").alias("ok"))
 
 
+@query(
+    rf"""
+WITH t AS (SELECT id, {TRIM.format("v")} AS v FROM wide_samples), n AS (SELECT *, len(regexp_extract_all(v, '\p{{Nd}}')) AS n FROM t)
+SELECT id, n::INT AS digits, regexp_matches(v, '\p{{Nd}}') AS numeric, regexp_matches(v, {q(P.DATE_LITERAL)}) OR n >= 4 AS date, n >= 7 AS phone, regexp_matches(v, {q(P.CODE_TOKEN)}) OR n >= 3 AS identifier,
+  CASE id % 10 WHEN 0 THEN 'numeric' WHEN 1 THEN 'numeric' WHEN 2 THEN 'date' WHEN 3 THEN 'date' WHEN 4 THEN 'date' WHEN 5 THEN 'identifier' WHEN 6 THEN 'numeric' WHEN 8 THEN 'link' END AS shape FROM n""",
+    ("wide_samples",),
+)
+def format_wide(t: Tables) -> DataFrame:
+    """Digits and blanks of other scripts; the shapes in the SQL were worked out by hand."""
+    v = t.fixture("wide_samples")
+    test = {f: X.value_matches_format("v", F.lit(f)).alias(f) for f in ("numeric", "date", "phone", "identifier")}
+    return v.select("id", X.digit_count(X.trimmed("v")).alias("digits"), *test.values(), X.format_probe("v").alias("shape"))
+
+
+@query(None)
+def sanitize_nfkc(t: Tables) -> DataFrame:
+    """Cleaning with the compatibility form first, which SQL lacks; the tests hold it against a definition."""
+    return t("documents").select("doc_id", X.sanitize(C.normal_form("text")).alias("clean"))
+
+
+@query(None)
+def chunk_windows_dual(t: Tables) -> DataFrame:
+    """Windows on both tracks; the canonical one needs Unicode forms, which SQL lacks; the tests hold it against a definition."""
+    lines = t("documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("sentence_index", "sentence"))
+    return C.windows(lines, "id")
+
+
 PROBE = rf"""CASE WHEN regexp_matches(v, {q(P.LINK)}) OR regexp_matches(v, {q(P.EMAIL)}) THEN 'link' WHEN regexp_matches(v, {q(P.DATE_LITERAL)}) THEN 'date' WHEN regexp_matches(v, {q(P.PHONE)}) THEN 'phone'
   WHEN regexp_matches(v, {q(P.TRACKING)}) THEN 'tracking_code' WHEN regexp_matches(v, {q(P.CODE_TOKEN)}) THEN 'identifier' WHEN regexp_matches(v, {q(P.PURE_NUMERIC)}) THEN 'numeric' END"""
 

@@ -58,6 +58,10 @@ def streaks(events: DataFrame, least: int = 2) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, streak int, tripped boolean", "streak int", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(vectors: DataFrame, log: VectorLog, checkpoint: str):
-    """Append every micro-batch of vectors(rid, vec, meta) to a log; a batch that runs again gets the same seq, so it changes nothing."""
-    return vectors.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, epoch: log.upsert(df, epoch)).start()
+def upsert_stream(vectors: DataFrame, log: VectorLog, checkpoint: str, base: int = 0):
+    """Append every micro-batch of vectors(rid, vec, meta) to a log.
+
+    A batch's seq is base and its number, so a batch that runs again writes the same seq and counts once. A new
+    checkpoint on a log that has rows already takes base=log.next_seq(), and keeps that base when it is started again.
+    """
+    return vectors.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, epoch: log.upsert(df, base + epoch)).start()
