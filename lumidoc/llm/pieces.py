@@ -6,11 +6,13 @@ their own concatenation (merges are ranked by the merged piece). So an encoding
 problem whose best path is unique. No piece holds a blank behind another character, so a path always has a
 boundary in front of each blank run (a sync point); between sync points the library's encoder gives the pieces.
 
-Scan. A document over GIANT characters is cut into chunks at fixed places. Each chunk yields the transfer matrix
+Scan. A document over one chunk (CHUNK characters) is cut into chunks at fixed places. Each chunk yields the transfer matrix
 from the occurrences that reach over its left border to those that reach over its right one; the document's
 matrices are combined associatively in a balanced tree; going down the tree fixes every border's occurrence, and
 each chunk is backtraced by itself. Only the stretch between a border and the next sync point needs the matrix
-work. Documents up to GIANT characters are encoded in one piece.
+work. Documents of one chunk need no scan: their only borders are their ends, so they are encoded in one piece.
+A document's key is made of hashes of its id and text, so a task that runs again cuts the same chunks; rows that repeat
+both are scanned once.
 
 Cases: a null text has null ids and null text; an empty one has no ids. U+2581 decodes to a blank, as in the
 library; any other text comes back as it was. Ids may be null or repeat. Empty table: empty result.
@@ -18,7 +20,6 @@ library; any other text comes back as it was. Ids may be null or repeat. Empty t
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import limit_batches, shuffle_width, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-GIANT = 1 << 16
 CHUNK = 1 << 14
 
 BLANK = "▁"
@@ -231,21 +231,21 @@ def _window(normal: str, s: int, e: int, reach: int) -> tuple[str, int, int]:
     return normal[low : e + reach], s - low, e - low
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(id_col, ids ARRAY<INT>) for every row. The model's path must be readable on every executor."""
-    return _ordinary(docs, id_col, text_col, model, False).unionByName(_giants(docs, id_col, text_col, model))
+    return _ordinary(docs, id_col, text_col, model, False, chunk).unionByName(_giants(docs, id_col, text_col, model, chunk))
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """decode(encode(docs)), ordinary documents in one pass through Python: half the workers, and ids cross once."""
-    return _ordinary(docs, id_col, text_col, model, True).unionByName(decode(_giants(docs, id_col, text_col, model), id_col, model))
+    return _ordinary(docs, id_col, text_col, model, True, chunk).unionByName(decode(_giants(docs, id_col, text_col, model, chunk), id_col, model))
 
 
-def _small() -> Column:
-    return F.col("text").isNull() | (F.length("text") <= GIANT)
+def _small(chunk: int) -> Column:
+    return F.col("text").isNull() | (F.length("text") <= chunk)
 
 
-def _ordinary(docs: DataFrame, id_col: str, text_col: str, model: str, back: bool) -> DataFrame:
+def _ordinary(docs: DataFrame, id_col: str, text_col: str, model: str, back: bool, chunk: int) -> DataFrame:
     limit_batches(docs.sparkSession)
     rows = docs.select(id_col, F.col(text_col).alias("text"))
     names = [id_col, "ids", *["text"] * back]
@@ -257,29 +257,30 @@ def _ordinary(docs: DataFrame, id_col: str, text_col: str, model: str, back: boo
             texts = [pa.array([None if x is None else own.decode(x) for x in ids], pa.string())] if back else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), *texts], names=names)
 
-    return rows.where(_small()).mapInArrow(plain, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>" + ", text string" * back)
+    return rows.where(_small(chunk)).mapInArrow(plain, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>" + ", text string" * back)
 
 
-def _giants(docs: DataFrame, id_col: str, text_col: str, model: str) -> DataFrame:
-    """(id_col, ids) of the documents over GIANT characters, by the scan."""
+def _giants(docs: DataFrame, id_col: str, text_col: str, model: str, chunk: int) -> DataFrame:
+    """(id_col, ids) of the documents over one chunk, by the scan."""
     spark = docs.sparkSession
     limit_batches(spark)
-    rows = docs.select(id_col, F.col(text_col).alias("text"))
-    kind = rows.schema[id_col].dataType.simpleString()
+    hashed = [F.xxhash64(F.lit(k), F.col(id_col).cast("string"), F.col(text_col)).cast("string") for k in (0, 1)]
+    rows = docs.select(F.concat_ws(":", *hashed).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~_small(chunk))
+    kind = rows.schema["id"].dataType.simpleString()
     longest = loaded(model).longest
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                normal, key = BLANK + text.replace(" ", BLANK), uuid.uuid4().hex
-                for n, s in enumerate(range(0, len(normal), CHUNK)):
-                    part, low, high = _window(normal, s, min(s + CHUNK, len(normal)), longest)
-                    cols = [pa.array([key]), batch.column(0).slice(k, 1), pa.array([n], pa.int32()), pa.array([part]), pa.array([low], pa.int32()), pa.array([high], pa.int32())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", id_col, "chunk", "part", "low", "high"])
-
-    shape = f"key string, `{id_col}` {kind}, chunk int, part string, low int, high int"
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                normal = BLANK + text.replace(" ", BLANK)
+                for n, s in enumerate(range(0, len(normal), chunk)):
+                    part, low, high = _window(normal, s, min(s + chunk, len(normal)), longest)
+                    cols = [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([n], pa.int32()), pa.array([part]), pa.array([low], pa.int32()), pa.array([high], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "chunk", "part", "low", "high"])
+
+    shape = f"key string, id {kind}, chunk int, part string, low int, high int"
     width = shuffle_width(spark)
-    chunks = written(rows.where(~_small()).mapInArrow(split, shape).repartition(width, "key", "chunk"), "chunks")
+    chunks = written(rows.mapInArrow(split, shape).repartition(width, "key", "chunk").dropDuplicates(["key", "chunk"]), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(model)
@@ -307,12 +308,14 @@ def _giants(docs: DataFrame, id_col: str, text_col: str, model: str) -> DataFram
         own = loaded(model)
         for batch in batches:
             ids = [own.backtrace(part, low, high, tuple(b[:2]), tuple(b[2:])) for part, low, high, b in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["key", id_col, "chunk", "ids"])
-
-    joined = chunks.join(states, ["key", "chunk"]).select("key", id_col, "chunk", "part", "low", "high", "border")
-    traced = joined.mapInArrow(backtraced, f"key string, `{id_col}` {kind}, chunk int, ids array<int>")
-    whole = traced.groupBy("key").agg(F.first(id_col).alias(id_col), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return whole.select(id_col, "ids")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["key", "id", "chunk", "ids"])
+
+    joined = chunks.join(states, ["key", "chunk"]).select("key", "id", "chunk", "part", "low", "high", "border")
+    traced = joined.mapInArrow(backtraced, f"key string, id {kind}, chunk int, ids array<int>")
+    whole = traced.groupBy("key").agg(F.first("id").alias("id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
+    again = rows.groupBy("key").agg(F.count("*").alias("times"))
+    every = whole.join(again, "key").select("id", "ids", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return every.select(F.col("id").alias(id_col), "ids")
 
 
 def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:

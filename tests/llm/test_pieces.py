@@ -34,7 +34,7 @@ def test_combine_is_associative():
 def test_round_trip_on_spark(spark):
     rnd = random.Random(5)
     giant = " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 12))) for _ in range(20_000))
-    solid = "".join(rnd.choice("abc") for _ in range(pieces.GIANT + 500))
+    solid = "".join(rnd.choice("abc") for _ in range(4 * pieces.CHUNK + 500))
     rows = [(1, None), (2, ""), (3, "plain text"), (4, giant), (4, giant), (None, "no id"), (6, solid), (7, "two  blanks\n")]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, ids int, key string")
     got = pieces.decode(pieces.encode(df)).collect()
