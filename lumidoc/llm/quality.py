@@ -6,7 +6,7 @@ number of labellers, whatever the corpus) estimates each labeller's accuracies a
 pattern gets its posterior.
 Scorer. A logistic model on hashed byte n-grams and binned statistics is trained on posteriors of at most
 `sample` documents (a documented bound: the smallest hashes, alike from the patterns that look good and bad), and
-scores every whole document.
+scores every whole document, however long.
 
 Cases: null and empty texts have score 0 and aren't kept. If all patterns agree on one side, that side's share
 serves as every score. Ids may be null or repeat. Empty table: empty result.
@@ -97,18 +97,25 @@ class LabelModel:
     good: float  # the share of good documents
     chances: np.ndarray  # labellers x classes (bad, good) x votes (-, 0, +); no vote says nothing: 1
 
+    def posteriors(self, vote: np.ndarray) -> np.ndarray:
+        """The probabilities that documents with these votes (patterns x labellers, 0 to 2) are good."""
+        logs = np.log(self.chances)[np.arange(vote.shape[1]), :, vote].sum(1) + np.log([1 - self.good, self.good])
+        return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+
     def posterior(self, pattern: str) -> float:
         """The probability that a document with these votes is good."""
-        at = np.array([{"-": 0, "0": 1, "+": 2}[v] for v in pattern])
-        logs = np.log(self.chances[np.arange(len(at)), :, at]).sum(0) + np.log([1 - self.good, self.good])
-        return float(1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))
+        return float(self.posteriors(_votes([pattern]))[0])
+
+
+def _votes(patterns: list[str]) -> np.ndarray:
+    return np.array([["-0+".index(v) for v in p] for p in patterns])
 
 
 def fit_labels(counts: dict[str, int], rounds: int = 200) -> LabelModel:
     """Expectation-maximisation from the balance of votes; order of patterns and rows doesn't matter."""
     patterns = sorted(counts)
     weight = np.array([counts[p] for p in patterns], float)
-    vote = np.array([[{"-": 0, "0": 1, "+": 2}[v] for v in p] for p in patterns])
+    vote = _votes(patterns)
     one = np.eye(3)[vote]  # patterns x labellers x votes
     q = np.where((vote == 0).sum(1) >= 2, 0.05, 0.95)  # two bad votes: bad, to begin with
     for _ in range(rounds):
@@ -118,7 +125,7 @@ def fit_labels(counts: dict[str, int], rounds: int = 200) -> LabelModel:
         chances[:, :, 1] = 1
         good = float(np.clip(both[:, 1].sum() / weight.sum(), 1e-3, 1 - 1e-3))
         model = LabelModel(good, chances)
-        after = np.array([model.posterior(p) for p in patterns])
+        after = model.posteriors(vote)
         if np.abs(after - q).max() < 1e-9:
             break
         q = after
@@ -193,7 +200,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     size = (1 << BINS_LOG2) + 16 * len(LABELLERS)
     if model is None:
         return None, Scorer(np.zeros(size, np.float32), 0.0)
-    posterior = {p: model.posterior(p) for p in counts}
+    posterior = dict(zip(counts, model.posteriors(_votes(list(counts))).tolist(), strict=True))
     many = {side: sum(n for p, n in counts.items() if (posterior[p] >= 0.5) == side) for side in (True, False)}
     rate = {side: min(1.0, sample / 2 / max(1, n)) for side, n in many.items()}
     if not all(many.values()):
@@ -215,6 +222,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.where(F.length(text_col) > 0).select(place.alias("place"), F.col(text_col).alias("text")).where(F.col("place") < top)
+    rows = rows.groupBy("place").agg(F.first("text").alias("text"))  # rows that repeat an id and a text count once
     found = rows.mapInArrow(run, "place double, y double, x binary").collect()
     found.sort(key=lambda r: (r["place"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32) if found else np.zeros((0, size), np.float32)

@@ -53,3 +53,28 @@ def test_cases(spark):
     assert quality.classify(df.limit(0)).count() == 0
     alike = quality.classify(spark.createDataFrame([(1, prose), (2, prose)], TEXT)).collect()
     assert all(r.keep for r in alike)
+
+
+def test_expectation_maximisation_against_loops():
+    """The label model's rounds written out pattern by pattern."""
+    counts = {"+" * 13: 50, "-" * 13: 20, "0" * 13: 5, "+-0+-0+-0+-0+": 7, "--+++++++++++": 9}
+    q = {p: 0.05 if p.count("-") >= 2 else 0.95 for p in counts}
+    for _ in range(200):
+        chance = {}
+        for k in range(13):
+            for good in (0, 1):
+                n = {v: 0.5 + sum(c * (q[p] if good else 1 - q[p]) for p, c in counts.items() if p[k] == v) for v in "-+"}
+                chance[k, good] = {v: n[v] / (n["-"] + n["+"]) for v in "-+"} | {"0": 1.0}
+        share = min(max(sum(q[p] * c for p, c in counts.items()) / sum(counts.values()), 1e-3), 1 - 1e-3)
+        after = {}
+        for p in counts:
+            both = [1 - share, share]
+            for k, v in enumerate(p):
+                both = [b * chance[k, good][v] for good, b in enumerate(both)]
+            after[p] = both[1] / sum(both)
+        moved = max(abs(after[p] - q[p]) for p in counts)
+        if moved < 1e-9:
+            break
+        q = after
+    model = quality.fit_labels(counts)
+    assert all(abs(model.posterior(p) - after[p]) < 1e-6 for p in counts)
