@@ -60,3 +60,23 @@ def test_blocks_give_the_same(spark, monkeypatch):
     parts = sorted((r.doc_id, *x) for b in D.blocks(bench, "item_id", "text", D.LEAST, 3000) for r in docs.collect() for x in b.search(r.text) if x[1] >= D.THRESHOLD)
     assert len(list(D.blocks(bench, "item_id", "text", D.LEAST, 3000))) > 2
     assert whole == parts and whole
+
+
+def test_repetitive_texts_and_single_words(spark):
+    item, text = "la " * 200, "la " * 3000 + "end"
+    block = D.Block([(1, item)], D.LEAST)
+    found = list(block.search(text))
+    assert [(x[0], x[1], x[2], x[3]) for x in found] == [(1, 1.0, 1, 200)]
+    docs = spark.createDataFrame([(1, "the river and the stone"), (2, "River"), (3, "river river"), (4, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "river"), (8, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()) == [(2, 7), (4, 8)]
+
+
+def test_pairs_in_blocks_give_the_same(monkeypatch):
+    rnd = random.Random(2)
+    items = [(k, " ".join(rnd.choice("abc") for _ in range(30))) for k in range(6)]
+    texts = [" ".join(rnd.choice("abc") for _ in range(120)) for _ in range(6)]
+    block = D.Block(items, 3)
+    whole = [list(block.search(t)) for t in texts]
+    monkeypatch.setattr(D, "PAIRS", 7)
+    assert [list(block.search(t)) for t in texts] == whole and any(whole)
