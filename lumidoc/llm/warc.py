@@ -5,8 +5,11 @@ the others are revisits that refer to it; shorter ones are all responses. Every
 Archives are rows (archive, content) of a table in the shared folder, so that no executor's own disk is needed.
 
 Reader. Reads gzip members and plain records in turn and checks version line, lengths, closing line breaks, the
-member's CRC and the digests of block and payload. After a failed check it searches for the next place where a valid member or
-version line begins, goes on there and reports the bytes between as a quarantined gap.
+member's CRC and the digests of block and payload (SHA-1 in base 32 or hex; others aren't checked). Headers may be
+folded; a revisit by another writer may lack the payload's length. After a failed check it searches for the next place
+where a valid member or version line begins, goes on there and reports the bytes between as a quarantined gap. Inside a
+member the same search runs over its unpacked bytes, also over what a damaged member gives before its damage; gaps in
+there have the member's offset and, as `inner`, their place in its content.
 
 Cases: a null html is an empty payload; a null url leaves its header out; line breaks in a url are escaped. Rows
 with a null id are responses. Rows that share the response's id are responses too. Empty table: empty archives.
@@ -130,12 +133,17 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     first, *lines = data[at:end].split(b"\r\n")
     if not _VERSION.match(first):
         raise _Bad("no version line")
-    headers = {}
+    headers: dict[str, str] = {}
+    name = ""
     for line in lines:
+        if line[:1] in (b" ", b"\t") and name:  # folded: goes on from the line before
+            headers[name] = f"{headers[name]} {_text(line)}".strip()
+            continue
         k, colon, v = line.partition(b":")
         if not colon:
             raise _Bad("a header without a colon")
-        headers[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "surrogatepass" if _pure(v) else "replace")
+        name = k.strip().lower().decode("utf-8", "replace")
+        headers[name] = _text(v)
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise _Bad("no length")
@@ -145,73 +153,111 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, data[begin:close], close + 4
 
 
-def _pure(v: bytes) -> bool:
+def _text(v: bytes) -> str:
     try:
-        v.decode("utf-8", "surrogatepass")
+        return v.strip().decode("utf-8", "surrogatepass")
     except UnicodeDecodeError:
-        return False
-    return True
+        return v.strip().decode("utf-8", "replace")
+
+
+def _told(digest: str) -> str | None:
+    """A header's SHA-1 as hex digits, from base 32 or hex; None if there is none."""
+    kind, _, value = digest.partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper()).hex()
+    except ValueError as e:
+        raise _Bad("a digest that can't be read") from e
 
 
-def _unpacked(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member that begins here, and its end."""
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member that begins here holds, its end (None: damaged), and what is wrong with it."""
     unpack, out, begin = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
             if begin >= len(data):
-                raise _Bad("a member is cut off")
+                return b"".join(out), None, "a member is cut off"
             out.append(unpack.decompress(data[begin : begin + 8192]))
             begin += 8192
-    except zlib.error as e:
-        raise _Bad("a member's check fails") from e
-    return b"".join(out), min(begin, len(data)) - len(unpack.unused_data)
+    except zlib.error:
+        return b"".join(out), None, "a member's check fails"
+    return b"".join(out), min(begin, len(data)) - len(unpack.unused_data), ""
 
 
 def _checked(headers: dict[str, str], block: bytes) -> dict:
     """What the reader returns of one record."""
     kind = headers.get("warc-type", "")
     payload = block
-    told = headers.get("warc-block-digest", "")
-    if told.upper().startswith("SHA1:") and told.upper() != _sha1(block).upper():
+    told = _told(headers.get("warc-block-digest", ""))
+    if told and told != hashlib.sha1(block).hexdigest():
         raise _Bad("the block's digest doesn't fit")
-    if headers.get("content-type", "").startswith("application/http"):
+    if headers.get("content-type", "").startswith("application/http") and (kind != "revisit" or b"\r\n\r\n" in block):
         _, gap, payload = block.partition(b"\r\n\r\n")
         if not gap:
             raise _Bad("an HTTP header doesn't end")
-    told = headers.get("warc-payload-digest", "")
-    digest = hashlib.sha1(payload).hexdigest()
+    told = _told(headers.get("warc-payload-digest", ""))
+    same = {"kind": kind, "record_id": headers.get("warc-record-id"), "url": headers.get("warc-target-uri")}
     if kind != "revisit":
-        if told.upper().startswith("SHA1:") and told.upper() != _sha1(payload).upper():
+        digest = hashlib.sha1(payload).hexdigest()
+        if told and told != digest:
             raise _Bad("the payload's digest doesn't fit")
-        return {"kind": kind, "record_id": headers.get("warc-record-id"), "url": headers.get("warc-target-uri"), "payload": payload, "digest": digest, "length": len(payload), "refers_to": None}
-    try:
-        digest, length = base64.b32decode(told.partition(":")[2].upper()).hex(), int(headers.get("x-payload-length", ""))
-    except ValueError as e:
-        raise _Bad("a revisit without digest or length") from e
-    return {"kind": kind, "record_id": headers.get("warc-record-id"), "url": headers.get("warc-target-uri"), "payload": None, "digest": digest, "length": length, "refers_to": headers.get("warc-refers-to")}
+        return same | {"payload": payload, "digest": digest, "length": len(payload), "refers_to": None}
+    length = headers.get("x-payload-length", "")
+    return same | {"payload": None, "digest": told, "length": int(length) if length.isascii() and length.isdigit() else None, "refers_to": headers.get("warc-refers-to")}
+
+
+def _records(content: bytes) -> Iterator[dict]:
+    """The records of plain bytes that hold, with `at`, and a row of kind `gap` for each stretch between."""
+    at, lost, why = 0, None, ""
+    while at < len(content):
+        try:
+            headers, block, end = _plain(content, at)
+            found = _checked(headers, block) | {"at": at}
+        except _Bad as e:
+            if lost is None:
+                lost, why = at, str(e)
+            ahead = content.find(b"WARC/", at + 1)
+            at = ahead if ahead >= 0 else len(content)
+            continue
+        if lost is not None:
+            yield {"kind": "gap", "at": lost, "length": at - lost, "reason": why}
+            lost = None
+        yield found
+        at = end
+    if lost is not None:
+        yield {"kind": "gap", "at": lost, "length": len(content) - lost, "reason": why}
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """All records that hold (keys as in _checked, with offset) and a row of kind `gap` for each stretch between."""
 
-    def at_place(at: int) -> tuple[list[dict], int]:
-        if data.startswith(b"\x1f\x8b", at):
-            content, end = _unpacked(data, at)
-            found, k = [], 0
-            while k < len(content):
-                headers, block, k = _plain(content, k)
-                found.append(_checked(headers, block))
-            return found, end
-        headers, block, end = _plain(data, at)
-        return [_checked(headers, block)], end
+    def at_place(at: int) -> tuple[list[dict], int | None, str]:
+        if not data.startswith(b"\x1f\x8b", at):
+            headers, block, end = _plain(data, at)
+            return [_checked(headers, block)], end, ""
+        content, end, why = _unpacked(data, at)
+        found = [x | {"inner": x.pop("at")} for x in _records(content)]
+        if end is None:  # what came before the damage counts, the rest is in the gap
+            return [x for x in found if x["kind"] != "gap"], None, why
+        if found and all(x["kind"] == "gap" for x in found):
+            raise _Bad(found[0]["reason"])
+        return found, end, ""
 
     at, lost, why = 0, None, ""
     while at < len(data):
         try:
-            found, end = at_place(at)
+            found, end, wrong = at_place(at)
         except _Bad as e:
+            found, end, wrong = [], None, str(e)
+        if end is None:
+            for x in found:
+                yield x | {"offset": at}
             if lost is None:
-                lost, why = at, str(e)
+                lost, why = at, wrong
             ahead = _BEGIN.search(data, at + 1)
             at = ahead.start() if ahead else len(data)
             continue
@@ -225,7 +271,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield {"kind": "gap", "offset": lost, "length": len(data) - lost, "reason": why}
 
 
-_SHAPE = {"archive": pa.string(), "offset": pa.int64(), "kind": pa.string(), "record_id": pa.string(), "url": pa.string(), "payload": pa.binary(), "digest": pa.string(), "length": pa.int64(), "refers_to": pa.string(), "reason": pa.string()}
+_SHAPE = {"archive": pa.string(), "offset": pa.int64(), "kind": pa.string(), "record_id": pa.string(), "url": pa.string(), "payload": pa.binary(), "digest": pa.string(), "length": pa.int64(), "refers_to": pa.string(), "reason": pa.string(), "inner": pa.int64()}
 
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -251,7 +297,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     def _batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _SHAPE.items()], names=names)
 
-    return archives.select("archive", "content").mapInArrow(run, "archive string, offset bigint, kind string, record_id string, url string, payload binary, digest string, length bigint, refers_to string, reason string")
+    return archives.select("archive", "content").mapInArrow(run, "archive string, offset bigint, kind string, record_id string, url string, payload binary, digest string, length bigint, refers_to string, reason string, inner bigint")
 
 
 def read_files(spark, path: str) -> DataFrame:

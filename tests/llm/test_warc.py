@@ -98,3 +98,36 @@ def test_files(spark, tmp_path):
     assert len(list(folder.glob("*.warc.gz"))) > 1
     got = warc.read_files(spark, f"file://{folder}").where("kind in ('response', 'revisit')")
     assert sorted(r.record_id for r in got.collect()) == sorted(f"<urn:page:{k}>" for k in range(20))
+
+
+def test_records_of_other_writers():
+    body = b"<p>x</p>" * 30
+    digest = hashlib.sha1(body).hexdigest()
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    def record(kind, block, *more):
+        head = "".join(f"{x}\r\n" for x in (f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x:1>", "Content-Type: application/http;msgtype=response", *more, f"Content-Length: {len(block)}"))
+        return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+    hexed = record("response", http + body, f"WARC-Payload-Digest: sha1:{digest}", "WARC-Target-URI: http://h/a", "X-Note: one", "\ttwo")
+    bare = record("revisit", b"", f"WARC-Payload-Digest: SHA1:{digest.upper()}", "WARC-Refers-To: <urn:x:0>")
+    headed = record("revisit", http, f"WARC-Payload-Digest: {warc._sha1(body)}")
+    found = list(warc.salvage(hexed + bare + headed))
+    assert [(x["kind"], x["digest"], x["length"]) for x in found] == [("response", digest, len(body)), ("revisit", digest, None), ("revisit", digest, None)]
+    wrong = hexed.replace(digest.encode(), b"0" * 40)
+    assert [x["reason"] for x in warc.salvage(wrong)] == ["the payload's digest doesn't fit"]
+
+
+def test_salvage_inside_one_member():
+    bodies = [bytes([97 + k]) * (3000 + k) for k in range(6)]
+    plain = archive(bodies, packed=False)
+    hurt = plain[2].replace(bodies[2], b"?" + bodies[2][1:])
+    found = list(warc.salvage(gzip.compress(b"".join([*plain[:2], hurt, *plain[3:]]))))
+    assert [x["payload"] for x in found if x["kind"] != "gap"] == [bodies[k] for k in (0, 1, 3, 4, 5)]
+    gap = [x for x in found if x["kind"] == "gap"]
+    assert [(x["inner"], x["length"]) for x in gap] == [(sum(map(len, plain[:2])), len(hurt))]
+    import random
+
+    noise = [random.Random(k).randbytes(9000) for k in range(6)]
+    member = gzip.compress(b"".join(archive(noise, packed=False)))
+    found = list(warc.salvage(member[: len(member) * 2 // 3]))
+    kept = [x["payload"] for x in found if x["kind"] != "gap"]
+    assert kept == noise[: len(kept)] and len(kept) >= 3 and [x["reason"] for x in found if x["kind"] == "gap"] == ["a member is cut off"]
