@@ -5,8 +5,10 @@ whether the text's codeword has it. Decoding sums, for every language, the logis
 classifiers' margins, weighted by each classifier's accuracy on training rows; the nearest codeword wins, and a
 text whose two nearest codewords are about as far is flagged as ambiguous.
 
-Training takes at most `per_language` documents of each language (a documented bound: the smallest hashes of
-their ids), read whole; the counts of labelled documents are over all of them. Prediction reads whole texts only.
+Training takes about `per_language` distinct documents of each language at most (a documented bound: the smallest hashes
+of their ids; rows that repeat a text count once) and the `languages` most frequent languages at most (a documented
+bound, too; far more labels are dirt); documents are read whole, and the counts are over all of them. Prediction reads
+whole texts only, of any length, and other columns of any name stay. Ties of loss go to the first language by name.
 
 Cases: a null text, or one without a letter, is `und` with score 0 and is not ambiguous. Without labelled
 documents every text is `und`. With one language that language is predicted with score 1. A null id is never
@@ -30,6 +32,7 @@ from .common import limit_batches
 
 BINS_LOG2 = 12
 PER_LANGUAGE = 500
+LANGUAGES = 256
 UNDETERMINED = "und"
 #: Below this lead of the nearest codeword over the second, as a share of the second's loss, a text is ambiguous.
 AMBIGUOUS = 0.05
@@ -126,7 +129,7 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 250, rate: float = 4.0,
     return Model(languages, code, w, c, np.log(right / (1 - right)) / np.log((1 - 1e-3) / 1e-3))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, languages: int = LANGUAGES) -> DataFrame:
     """(lang, text) of at most about per_language labelled training documents of each language.
 
     A document is taken if the hash of its id is under its language's rate, a number from the counts of all; so
@@ -134,12 +137,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("id is not null and lang is not null and text is not null").where(~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, round((1 << 30) * per_language / r["n"]))) for r in counts], "lang string, rate bigint")
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
-    rate = F.lit(0).cast("long")
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1 << 30, round((1 << 30) * per_language / n)))).otherwise(rate)
-    return rows.where(place < rate).select("lang", "text")
+    taken = rows.join(F.broadcast(rates), "lang").where(place < F.col("rate"))  # at most `languages` rates
+    return taken.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:

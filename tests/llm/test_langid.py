@@ -59,3 +59,10 @@ def test_ambiguous_texts_are_flagged():
     model = langid.fit(np.stack([langid.features(t) for t in ["aaa bbb"] * 20 + ["xxx yyy"] * 20]), ["a"] * 20 + ["x"] * 20)
     sure, vague = model.decode(np.stack([langid.features("aaa bbb aaa"), langid.features("qqq 1")]))
     assert sure[0] == "a" and not sure[2] and sure[1] > vague[1]
+
+
+def test_a_repeated_row_counts_once_and_labels_are_bounded(spark):
+    rows = [(k, f"the house number {k} of the river", "en") for k in range(60)] + [(1000, "the same row over and over", "en")] * 400 + [(2000 + k, "eine Zeile " + "x" * k, f"dirt{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = langid.sample(docs, "doc_id", "text", "lang", 500, 3).collect()
+    assert len({r.lang for r in taken}) <= 3 and len(taken) == len({(r.lang, r.text) for r in taken})
