@@ -1,21 +1,22 @@
 """License scans: sparse TF-IDF cosines of headers and licence files to templates, then directory inheritance.
 
-DataFrame functions only. A file's header candidates are its lines, its candidate as a licence file is the whole
-text. Words are runs of ASCII letters and digits and of any other non-ASCII characters, A-Z lower-cased. A word of
+DataFrame functions only. A file's header candidates are its lines and its paragraphs of several lines (a comment block
+is one), its candidate as a licence file is the whole text. Words are runs of ASCII letters and digits and of any other non-ASCII characters, A-Z lower-cased. A word of
 the templates' vocabulary weighs ln((1 + files) / (1 + files with the word)) + 1, counted over all files; any other
 word weighs as one that no file has, so it can only lower a cosine. A candidate has the licence of its nearest
 template if the cosine, rounded to 6 digits, is at least `least`; the greatest of a file's candidates counts (whole
-text first, then the first line, then the licence's name).
+text first, then the first line, then the first paragraph, then the licence's name).
 
-Exact pruning: a cosine of `least` or more needs one of a template's anchors, its heaviest words without which
-the rest of the template's unit vector is shorter than `least`. Only texts and lines with an anchor are scored, and
-whole texts only if their words outside the vocabulary leave room for that cosine.
+Exact pruning: a cosine of `least` or more needs one of a template's anchors, its rarest words without which
+the rest of the template's unit vector is shorter than `least`. Only texts and parts with an anchor are scored, and
+whole texts and paragraphs only if their words outside the vocabulary leave room for that cosine.
 
-Inheritance: a licence file gives its licence to its directory (greatest cosine, then least path). A file without a
+Inheritance: a licence file gives its licence to its directory (greatest cosine, then least path). `names` is a pattern
+that a licence file's name has to match; without it any file whose whole text is a licence is one. A file without a
 licence of its own takes that of the nearest directory above it that has one, found by joining each directory's
 ancestors with the directories' licences.
 
-Cases: a null text has no words, a null path is the empty one. Rows that repeat a path and a text get the same
+Cases: a null text has no words, a null path is the empty one. Very long texts are read whole. Rows that repeat a path and a text get the same
 result. Empty table: empty result. Only the named columns are read, so others may have any name.
 """
 
@@ -32,6 +33,33 @@ LEAST = 0.8
 #: Directories (some 100 bytes each) that may be sent to every executor.
 BROADCAST_ROWS = 100_000
 
+#: Paragraphs are numbered from here on, behind all lines.
+PARAGRAPHS = 1 << 30
+PARAGRAPH = r"\n[ \t\r]*\n"
+
+# Fixed texts: licences and headers as they stand in files.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+_BSD_BODY = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
 #: Fixed texts: statements by which files name their licence, and the opening paragraphs of licence texts.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -46,6 +74,12 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("proprietary", "All rights reserved."),
+    ("MIT", _MIT),
+    ("ISC", _ISC),
+    ("BSD-2-Clause", _BSD_OPENING + _BSD_BODY + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD_OPENING + _BSD_BODY + _BSD_THIRD + _BSD_WARRANTY),
+    ("Apache-2.0", _APACHE_HEADER),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "GPL-3.0-only", "GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC-BY-4.0")),
 ]
 
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"
@@ -81,10 +115,10 @@ def _anchors(weights: list[tuple[int, str, str, int, float]], least: float) -> l
     """Words of which a text must have one to come to the least cosine with any template."""
     found: set[str] = set()
     for k in sorted({w[0] for w in weights}):
-        own = sorted(((times * idf) ** 2, word) for t, _, word, times, idf in weights if t == k)
-        total = rest = sum(x for x, _ in own)
+        own = sorted((idf, (times * idf) ** 2, word) for t, _, word, times, idf in weights if t == k)  # the rarest ones last
+        total = rest = sum(x for _, x, _ in own)
         while math.sqrt(max(0.0, rest / total)) >= least - 1e-6:
-            x, word = own.pop()
+            _, x, word = own.pop()
             rest -= x
             found.add(word)
     return sorted(found)
@@ -123,8 +157,9 @@ def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
 
     hit = written(files.where(_any(F.col("text"), anchors)), "license-hits")
     lines = hit.select("path", "mark", F.posexplode(F.split("text", "\n")).alias("seg", "part")).where(_any(F.col("part"), anchors))
-    whole = hit.where(_could(F.col("text"), {w[2]: w[4] for w in weights}, unseen, least))
-    parts = lines.unionByName(whole.select("path", "mark", F.lit(-1).alias("seg"), F.col("text").alias("part"))).distinct()
+    blocks = hit.where(F.col("text").rlike(PARAGRAPH)).select("path", "mark", F.posexplode(F.split("text", PARAGRAPH)).alias("seg", "part")).where(F.contains("part", F.lit("\n")) & _any(F.col("part"), anchors))
+    longer = hit.select("path", "mark", F.lit(-1).alias("seg"), F.col("text").alias("part")).unionByName(blocks.withColumn("seg", F.col("seg") + PARAGRAPHS))
+    parts = lines.unionByName(longer.where(_could(F.col("part"), {w[2]: w[4] for w in weights}, unseen, least))).distinct()
     found = parts.select("path", "mark", "seg", F.explode(words(F.col("part"))).alias("word"))
     counted = found.groupBy("path", "mark", "seg", "word").agg(F.count("*").alias("times"))
     weighed = counted.join(F.broadcast(idf), "word", "left").withColumn("x", F.col("times") * F.coalesce("idf", F.lit(unseen)))
@@ -151,17 +186,18 @@ def inherited(directories: DataFrame, holders: DataFrame) -> DataFrame:
     return met.select("dir", F.col("near.at").alias("from_dir"), F.col("near.license").alias("license"), F.col("near.distance").alias("distance"))
 
 
-def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, names: str | None = None) -> DataFrame:
     """(id_col, path, license, how, cosine, from_dir, distance) for every row.
 
-    how: `file` for a licence file, `header` for a licence named in a line, `inherited` from from_dir; null if none.
+    how: `file` for a licence file, `header` for a licence in a line or paragraph, `inherited` from from_dir; null if none.
     """
     rows = files.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), lowered(F.col(text_col)).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     found = scored(rows.select("path", "mark", "text"), templates, least)
     own = found.groupBy("path", "mark").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "seg", "license")).alias("own"))
     own = own.select("path", "mark", F.col("own.license").alias("license"), F.when(F.col("own.seg") < 0, "file").otherwise("header").alias("how"), (-F.col("own.less")).alias("cosine"))
-    whole = found.where("seg < 0").groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "path", "license")).alias("one"))
+    holding = found.where("seg < 0") if names is None else found.where((F.col("seg") < 0) & F.regexp_extract("path", r"[^/]*$", 0).rlike(names))
+    whole = holding.groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "path", "license")).alias("one"))
     holders = whole.select("dir", F.col("one.license").alias("license"))
     named = rows.select("id", "path", "mark", directory(F.col("path")).alias("dir"))
     given = written(inherited(named.select("dir").distinct(), holders).withColumnRenamed("license", "given"), "directories", 8)

@@ -95,7 +95,7 @@ FROM p LEFT JOIN f ON p.payload_bytes >= 1000 AND f.payload_digest = p.payload_d
 """
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-/:-@\[-`{{-\x7f]+'), lambda w: w <> '')"
-_OP10 = """
+_OP10 = r"""
 WITH files AS (
   SELECT doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), coalesce(doc_id::VARCHAR, '_')) AS path, coalesce(text, '') AS text FROM documents
 ), templates(template, license, text) AS (VALUES {templates}),
@@ -110,6 +110,8 @@ parts AS (
   SELECT path, -1 AS seg, text FROM files WHERE regexp_matches(text, '(?i)licen|rights|permi|software|source|redistr|mozilla|commons|work|cc')
   UNION ALL
   SELECT path, seg, text FROM (SELECT path, generate_subscripts(l, 1) - 1 AS seg, unnest(l) AS text FROM (SELECT path, string_split(text, chr(10)) AS l FROM files))
+  UNION ALL
+  SELECT path, seg, text FROM (SELECT path, generate_subscripts(l, 1) - 1 + {paragraphs} AS seg, unnest(l) AS text FROM (SELECT path, regexp_split_to_array(text, '\n[ \t\r]*\n') AS l FROM files)) WHERE contains(text, chr(10))
 ),
 tf AS (SELECT path, seg, word, count(*) AS times FROM (SELECT path, seg, unnest({words}) AS word FROM parts) GROUP BY ALL),
 wx AS (SELECT path, seg, word, idf.idf IS NOT NULL AS known, times * coalesce(idf.idf, ln(1 + (SELECT n FROM total)) + 1) AS x FROM tf LEFT JOIN idf USING (word)),
@@ -128,7 +130,7 @@ SELECT f.doc_id, f.path, coalesce(o.license, g.license) AS license,
   CASE WHEN o.license IS NULL THEN g.from_dir END AS from_dir, CASE WHEN o.license IS NULL THEN g.distance END::INT AS distance
 FROM files f LEFT JOIN own o USING (path) LEFT JOIN given g USING (path)
 """.format(
-    words=_WORDS.format("text"), least=licenses.LEAST,
+    words=_WORDS.format("text"), least=licenses.LEAST, paragraphs=licenses.PARAGRAPHS,
     templates=", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES)),
 )
 

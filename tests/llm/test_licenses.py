@@ -81,3 +81,23 @@ def test_empty_table(spark):
 def test_anchors_are_enough():
     weights = [(0, "a", "x", 1, 3.0), (0, "a", "y", 2, 1.0), (0, "a", "z", 1, 0.5)]
     assert licenses._anchors(weights, 0.5) == ["x", "y"] and licenses._anchors(weights, 0.7) == ["x"]
+
+
+def test_whole_texts_wrapped_headers_and_names(spark):
+    import textwrap
+
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(textwrap.fill(p, 76) for p in licenses._MIT.split("\n\n"))
+    bsd = "Copyright 2019, A Person\n\n" + textwrap.fill(licenses._BSD_OPENING.strip(), 70) + "\n\n" + "\n\n".join(textwrap.fill(p, 70) for p in (licenses._BSD_BODY + licenses._BSD_THIRD + licenses._BSD_WARRANTY).split("\n\n"))
+    gpl = "\n".join("# " + x for x in textwrap.wrap(next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "redistribute" in t), 40))
+    code = "\n".join(f"value_{k} = compute(alpha_{k}, beta_{k % 7})" for k in range(60))
+    rows = [
+        (1, "a/LICENSE", mit), (2, "a/src/x.py", code), (3, "b/COPYING", bsd), (4, "b/y.c", code), (5, "c/z.py", gpl + "\n\n" + code), (6, "c/w.py", code),
+        (7, "d/v.js", "// SPDX-License-Identifier: Apache-2.0\n" + code), (8, "e/short.py", gpl), (9, "e/other.py", code),
+    ]
+    filler = [(100 + k, f"z/f{k}", f"some words of file {k} that stand for the rest of all the software here") for k in range(40)]
+    df = spark.createDataFrame(rows + filler, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.how) for r in licenses.scan(df, "doc_id", F.col("path"), names=r"^(LICEN[CS]E|COPYING)").collect()}
+    assert got[1] == ("MIT", "file") and got[2] == ("MIT", "inherited") and got[3][0] == "BSD-3-Clause" and got[4] == ("BSD-3-Clause", "inherited")
+    assert got[5] == ("GPL-3.0", "header") and got[6] == (None, None) and got[7] == ("Apache-2.0", "header")
+    assert got[8][0] == "GPL-3.0" and got[9] == (None, None)
+    assert all(got[100 + k] == (None, None) for k in range(40))
