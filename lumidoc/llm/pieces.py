@@ -302,7 +302,7 @@ def _giants(docs: DataFrame, id_col: str, text_col: str, model: str, chunk: int)
         states = borders(found)
         return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "border": [[*a, *b] for a, b in zip(states, states[1:], strict=False)]})
 
-    states = chunks.select("key", "chunk", "part", "low", "high").mapInArrow(matrices, "key string, chunk int, matrix array<array<int>>").groupBy("key").applyInPandas(choose, "key string, chunk int, border array<int>")
+    states = chunks.select("key", "chunk", "part", "low", "high").mapInArrow(matrices, "key string, chunk int, matrix array<array<int>>").repartition(width, "key").groupBy("key").applyInPandas(choose, "key string, chunk int, border array<int>")
 
     def backtraced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(model)
