@@ -88,9 +88,10 @@ def plinko(scored: DataFrame, totals: DataFrame, doc: str = "doc", longest: int
 
     scored(doc, s, e, field, score) holds the best field of every window of up to `longest` words, totals(doc,
     n_words). A prefix grows until a score falls under `cliff` times the one before it, if that was over the gate.
-    Without a score over the gate the cursor moves on by one word.
+    Without a score over the gate the cursor moves on by one word. Windows are dealt by document once; both
+    aggregates and the join keep that order.
     """
-    grown = scored.where(F.col("e") - F.col("s") <= longest).groupBy(doc, "s").agg(F.array_sort(F.collect_list(F.struct("e", "field", "score"))).alias("p"))
+    grown = scored.where(F.col("e") - F.col("s") <= longest).repartition(doc).groupBy(doc, "s").agg(F.array_sort(F.collect_list(F.struct("e", "field", "score"))).alias("p"))
     start = F.struct(F.lit(False).alias("over"), F.lit(None).cast("double").alias("prev"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("int").alias("e"), F.lit(None).cast("string").alias("field"))
 
     def grow(acc: Column, x: Column) -> Column:
@@ -202,7 +203,8 @@ def arena(scores: DataFrame, chrome: DataFrame | None = None, margin: float = 0.
     """(territories, verdicts): categories with fewer than `least` patches go and the others compete again.
 
     territories(*page, category, patches, peak, mean_margin, rival, absent). A page stops when no category is weak
-    or fewer than two would be left; the plan is unrolled, `rounds` times at most.
+    or fewer than two would be left. Rounds over pages are written, so that a plan holds one round; a single page's
+    plan is unrolled, `rounds` times at most.
     """
     page = page or []
     scores = settled(scores)  # every round reads it again
@@ -217,11 +219,11 @@ def arena(scores: DataFrame, chrome: DataFrame | None = None, margin: float = 0.
         strong = state.where(F.col("patches") >= least)
         # a page goes on only if at least two categories would be left
         left = state.groupBy(*page).agg(F.count_if(F.col("patches") >= least).alias("left"))
-        goes_on = F.broadcast(left.where("left >= 2").select(*page, F.lit(True).alias("go"))) if page else None
+        goes_on = settled(left.where("left >= 2").select(*page)) if page else None
         if page:
             kept = alive.join(strong.select(*page, "category"), [*page, "category"], "left_semi").join(goes_on, page, "left_semi")
             rest = alive.join(goes_on, page, "left_anti")
-            alive = kept.unionByName(rest)
+            alive = settled(kept.unionByName(rest))
         else:
             alive = alive.join(F.broadcast(strong.select("category")).crossJoin(F.broadcast(left.where("left >= 2"))), "category", "left_semi").unionByName(alive.crossJoin(F.broadcast(left.where("left < 2").drop("left"))).select(alive.columns))
     gap = F.col("score") - F.col("floor")

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..ship import shipped
 
@@ -129,7 +130,7 @@ def surprisal(vectors: DataFrame, bank: DataFrame, key: str, vec: str = "vec", d
     pooled = max_pool(vectors, bank, key, ["field", "kind"], vec)
     wide = pooled.groupBy(key, "field").agg(F.max(F.when(F.col("kind") == "bias", F.col("score"))).alias("bias"), F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(F.col("kind") == "prejudice", F.col("score"))), F.lit(0.0))).alias("prejudice")).where("bias is not null")
     sizes = bank.where("kind = 'bias'").groupBy("field").agg(F.count("*").alias("bank_size"))
-    rows = wide.join(F.broadcast(sizes), "field").withColumn("net", F.col("bias") - F.col("prejudice"))
+    rows = wide.join(sizes, "field").withColumn("net", F.col("bias") - F.col("prejudice"))
     one = Window.partitionBy(key)
     g = gumbel(F.col("bank_size"))
     rows = rows.withColumns({"z": z_score(F.col("net"), one), "penalty": (g - F.avg(g).over(one)) * damp}).withColumn("surprisal", F.col("z") - F.col("penalty"))
@@ -191,7 +192,7 @@ def otsu(values: DataFrame, value: str = "value", group: list[str] | None = None
     """(*group, gate): the centre of the histogram bin that parts the values with the greatest variance between."""
     group = group or []
     bounds = values.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    rows = values.join(F.broadcast(bounds), group) if group else values.crossJoin(F.broadcast(bounds))
+    rows = values.join(bounds, group) if group else values.crossJoin(F.broadcast(bounds))  # without groups one row
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") <= F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / width)))
     counts = rows.withColumn("bin", at.cast("int")).groupBy(*group, "lo", "hi", "bin").agg(F.count("*").alias("n"))
@@ -228,27 +229,37 @@ def quantize_fp8(v: Column, top: float = 448.0) -> Column:
 def top_k(queries: DataFrame, store: DataFrame, qid: str, rid: str, k: int, vec: str = "vec", block: int = 4096) -> DataFrame:
     """(qid, rid, score, rank): the k nearest rows of store by cosine for each query; k below 1 gives one.
 
-    The queries are the stated set: they go through the store in blocks, and every Arrow batch of the store keeps
-    only its own k best before anything is shuffled, so the shuffle holds k rows for each query and batch.
+    The queries are the stated set: they go through the store in blocks, and every task carries its k best from batch
+    to batch, so the shuffle holds k rows for each query and task, however many batches a task reads.
     """
     spark = store.sparkSession
     shipped(spark)
     k = max(1, k)
     shape = f"`{qid}` {queries.schema[qid].dataType.simpleString()}, `{rid}` {store.schema[rid].dataType.simpleString()}, score double"
+    kinds = [to_arrow_type(queries.schema[qid].dataType), to_arrow_type(store.schema[rid].dataType)]
     out = None
     for rows in bank_blocks(queries, [qid, vec], block):
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], _units(np.array([r[1] for r in rows], np.float64))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            best: np.ndarray | None = None  # (queries, up to k) scores, and beside them the rows' names
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 sims = np.round(q @ _units(_matrix(batch.column(1))).T, 12)
-                names = batch.column(0).to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(names, sims.shape), -sims), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows]), batch.column(0).take(pa.array(order.ravel())), pa.array(np.take_along_axis(sims, order, 1).ravel())], names=[qid, rid, "score"])
+                own = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), sims.shape)
+                if sims.shape[1] > k:  # what is under the k-th score can't come back; equal ones stay for the order of names
+                    floor = np.partition(sims, -k, axis=1)[:, -k]
+                    some = np.flatnonzero((sims >= floor[:, None]).any(axis=0))
+                    sims, own = sims[:, some], own[:, some]
+                if best is not None:
+                    sims, own = np.concatenate([best, sims], axis=1), np.concatenate([names, own], axis=1)
+                order = np.lexsort((own, -sims), axis=1)[:, :k]
+                best, names = np.take_along_axis(sims, order, 1), np.take_along_axis(own, order, 1)
+            if best is not None:
+                at = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], kinds[0]), pa.array(names.ravel(), kinds[1]), pa.array(best.ravel())], names=[qid, rid, "score"])
 
         part = store.select(rid, vec).mapInArrow(run, shape)
         out = part if out is None else out.unionByName(part)
