@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..ship import shipped
 
 #: Least height of a line, share and gap of overlapping bands, rows a ledger quantises by, its hit rate.
 LINE_MIN_H = 8
@@ -16,6 +19,12 @@ LEDGER_PX, LEDGER_HITS = 6, 0.60
 PROSE_LINES = 12
 SUMMARY_CHARS = 2000
 BAND_BASE, BAND_RANGE, BAND_LEAST = 0.12, 0.22, 3.0
+#: Re-splitting: a tall band's height in medians, its least height, rounds, base, what a gate rises by, gates tried, least range.
+TALL_RATIO, TALL_MIN_H, TALL_ROUNDS = 2.2, 16, 3
+TALL_BASE, TALL_STEP, TALL_GATES, TALL_LEAST = 20, 0.12, 3, 2.0
+#: Columns of a line: gate and least range. Room around a line, lines of a page.
+TRIM_RANGE, TRIM_LEAST = 0.30, 2.0
+LINE_PAD_X, LINE_PAD_Y, LINE_MAX = 4, 3, 40
 
 
 @dataclass(frozen=True)
@@ -56,6 +65,80 @@ def profile_bands(profile: DataFrame, page: str, gate: Column | None = None, lea
     return runs.groupBy(page, "island").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).where(F.col("y1") - F.col("y0") >= least).drop("island")
 
 
+def _runs(v: np.ndarray, gate: float) -> np.ndarray:
+    """(n, 2) of the runs over the gate that are at least a line high; their ends are outside."""
+    ends = np.flatnonzero(np.diff(np.concatenate([[False], v > gate, [False]]).astype(np.int8))).reshape(-1, 2)
+    return ends[ends[:, 1] - ends[:, 0] >= LINE_MIN_H]
+
+
+def split_tall(bands: DataFrame, profile: DataFrame, page: str) -> DataFrame:
+    """(page, y0, y1): bands(page, y0, y1) much taller than the page's upper median cut where a higher gate parts them.
+
+    profile(page, y, v) holds every row of a page from 0 on. A tall band takes the first of three gates over its own
+    values that leaves two lines or more; up to three rounds, each against the median of the one before. A page's
+    bands and profile, a few thousand rows, come together in one group.
+    """
+    shipped(bands.sparkSession)
+
+    def parted(v: np.ndarray) -> np.ndarray | None:
+        base, peak = np.percentile(v, TALL_BASE), v.max()
+        tries = (_runs(v, base + (peak - base) * (BAND_RANGE + TALL_STEP * k)) for k in range(1, TALL_GATES + 1)) if peak - base >= TALL_LEAST else ()
+        return next((t for t in tries if len(t) > 1), None)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        now = left[["y0", "y1"]].to_numpy(np.int64)
+        v = np.zeros(int(max(right["y"].max() + 1 if len(right) else 0, now[:, 1].max() if len(now) else 0)))
+        v[right["y"].to_numpy(np.int64)] = right["v"]
+        for _ in range(TALL_ROUNDS if len(now) else 0):
+            high = now[:, 1] - now[:, 0]
+            tall = (high > np.sort(high)[len(high) // 2] * TALL_RATIO) & (high >= TALL_MIN_H)
+            cuts = [(band, parted(v[band[0] : band[1]]) if far else None) for band, far in zip(now, tall, strict=True)]
+            if all(c is None for _, c in cuts):
+                break
+            now = np.concatenate([band[None] if c is None else c + band[0] for band, c in cuts])
+            now = now[np.argsort(now[:, 0], kind="stable")]
+        return pd.DataFrame({page: [left[page].iloc[0]] * len(now) if len(now) else [], "y0": now[:, 0], "y1": now[:, 1]})
+
+    shape = f"`{page}` {bands.schema[page].dataType.simpleString()}, y0 int, y1 int"
+    return bands.select(page, "y0", "y1").groupBy(page).cogroup(profile.select(F.col(page).alias("own"), "y", "v").groupBy("own")).applyInPandas(run, shape)
+
+
+def trimmed_columns(profile: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(*keys, x0, x1): from the first to the last of a line's columns profile(*keys, x, v) over its gate, the whole width where they hardly differ."""
+    stats = profile.groupBy(*keys).agg(F.percentile("v", F.lit(BAND_BASE)).alias("base"), F.max("v").alias("peak"))
+    over = F.when(F.col("v") > F.col("base") + (F.col("peak") - F.col("base")) * TRIM_RANGE, F.col("x"))
+    ends = profile.join(stats, keys).groupBy(*keys, "base", "peak").agg(F.min(over).alias("a"), F.max(over).alias("b"))
+    whole = (F.col("peak") - F.col("base") < TRIM_LEAST) | F.col("a").isNull()
+    return ends.select(*keys, F.when(whole, 0).otherwise(F.col("a")).cast("int").alias("x0"), F.when(whole, width).otherwise(F.col("b") + 1).cast("int").alias("x1"))
+
+
+def box_lines(boxes: DataFrame, page: str, width: int, height: int, most: int = LINE_MAX) -> DataFrame:
+    """(page, n, x0, y0, x1, y1): the detector's boxes as lines, from top to bottom, with some room, the first `most`.
+
+    A box goes into the first earlier one that shares at least 0.7 of the lower height and some width; slivers and
+    boxes over nearly the whole page are left out. One fold over a page's sorted boxes.
+    """
+    sides = ("y0", "x0", "x1", "y1")
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    kept = boxes.where((wide >= 4) & (high >= LINE_MIN_H) & ~((wide >= width * 0.95) & (high >= height * 0.80)))
+    rows = kept.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*[F.col(k).cast("int").alias(k) for k in sides]))).alias("b"))
+
+    def same(a: Column, b: Column) -> Column:
+        shared = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+        low = F.least(a["y1"] - a["y0"], b["y1"] - b["y0"])
+        return (shared > 0) & (shared >= low * (1 - OVERLAP_SHARE)) & (F.least(a["x1"], b["x1"]) > F.greatest(a["x0"], b["x0"]))
+
+    def step(acc: Column, b: Column) -> Column:
+        at = F.array_position(F.transform(acc, lambda a: same(a, b)), True)
+        both = lambda a: F.struct(*[f(a[k], b[k]).alias(k) for k, f in zip(sides, (F.least, F.least, F.greatest, F.greatest), strict=True)])
+        return F.when(at == 0, F.array_append(acc, b)).otherwise(F.transform(acc, lambda a, i: F.when(i == at - 1, both(a)).otherwise(a)))
+
+    lines = rows.select(page, F.posexplode(F.slice(F.aggregate("b", F.filter("b", lambda x: F.lit(False)), step), 1, most)).alias("n", "m"))
+    low = lambda k, pad: F.greatest(F.lit(0), F.col(f"m.{k}") - pad).alias(k)
+    top = lambda k, pad, end: F.least(F.lit(end), F.col(f"m.{k}") + pad).alias(k)
+    return lines.select(page, "n", low("x0", LINE_PAD_X), low("y0", LINE_PAD_Y), top("x1", LINE_PAD_X, width), top("y1", LINE_PAD_Y, height))
+
+
 def resolved_bands(bands: DataFrame, page: str) -> DataFrame:
     """(page, n, y0, y1): bands(page, y0, y1) of a page without overlap: those that share most become one, others are cut
     in the middle; then small gaps close. Two folds over one sorted array: a page has at most a few hundred bands."""

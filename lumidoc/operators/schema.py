@@ -156,3 +156,57 @@ def listed_schemas(spark: SparkSession, folder: str) -> DataFrame:
     plain = rows.where(F.size("fields") > 0).select(F.col("file").alias("name"), F.lit("schema").alias("kind"))
     virtual = rows.select("file", F.explode(F.map_keys("codes")).alias("code")).select(F.concat("file", F.lit("#"), "code").alias("name"), F.lit("virtual").alias("kind"))
     return (virtual if plain.isEmpty() else plain).orderBy("name")
+
+
+def listed_phrases(text: Column) -> Column:
+    """The phrases of a text parted by commas, semicolons, bars and line ends, each once in any case; single ASCII letters go."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;|\\n]+"), lambda x: F.regexp_replace(x, r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")), lambda x: ~x.rlike(r"^\p{ASCII}?$"))
+    return F.filter(parts, lambda x, k: F.array_position(F.transform(parts, F.lower), F.lower(x)) == k + 1)
+
+
+def node_phrases(asked: DataFrame, entries: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(domain, field, lang, side, n, phrase): what a dictionary's entries(lang, node, source, kind, text) say for asked(domain, field, lang).
+
+    A domain has nodes(domain, node, ord); a field goes by the sources of its aliases(domain, field, source, ord), else by
+    its own name. `kor`, `ko`, `eng` and `en` ask for one language, anything else for both, Korean first. Bias and
+    semantic texts are one side, prejudice the other; each phrase stays once in any case, where it comes first.
+    """
+    code = F.lower(F.btrim(F.coalesce("lang", F.lit(""))))
+    langs = F.when(code.isin("kor", "ko"), F.array(F.lit("ko"))).when(code.isin("eng", "en"), F.array(F.lit("en"))).otherwise(F.array(F.lit("ko"), F.lit("en")))
+    rows = asked.select("domain", "field", "lang", F.posexplode(langs).alias("l", "own")).join(nodes.select("domain", "node", F.col("ord").alias("k")), "domain")
+    named = aliases.select("domain", "field", "source", F.col("ord").alias("s"))
+    rows = rows.join(named, ["domain", "field"], "left").withColumns({"source": F.coalesce("source", "field"), "s": F.coalesce("s", F.lit(0))})
+    turn = F.when(F.col("kind") == "bias", 0).when(F.col("kind") == "semantic", 1).when(F.col("kind") == "prejudice", 2)
+    said = entries.withColumn("turn", turn).where("turn is not null").select(F.col("lang").alias("own"), "node", "source", "turn", F.posexplode(listed_phrases(F.col("text"))).alias("p", "phrase"))
+    side = F.when(F.col("turn") == 2, "prejudice").otherwise("bias")
+    met = rows.join(said, ["own", "node", "source"]).withColumns({"side": side, "low": F.lower("phrase")})
+    ask = ["domain", "field", "lang", "side"]
+    first = met.groupBy(*ask, "low").agg(F.min(F.struct("l", "k", "s", "turn", "p", "phrase")).alias("at"))
+    # a field has a few dozen phrases
+    return first.select(*ask, (F.row_number().over(Window.partitionBy(*ask).orderBy("at")) - 1).alias("n"), F.col("at.phrase").alias("phrase"))
+
+
+def listed_characters(text: Column) -> Column:
+    """The items of the list `character_dict` in a YAML text: those of a list in brackets, or the indented lines with a dash up to the first other one."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\r\n|[\n\r]")
+    key = r"^(\s*)character_dict\s*:\s*(.*)$"
+
+    def unquoted(x: Column) -> Column:
+        t = F.regexp_replace(x, r"^\s+|\s+$", "")
+        body = F.substring(t, F.lit(2), F.length(t) - 2)
+        read = F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), F.lit(0))
+        long = F.length(t) > 1
+        return F.when(long & t.rlike("^'.*'$"), F.replace(body, F.lit("''"), F.lit("'"))).when(long & t.rlike('^".*"$'), F.when(F.contains(body, F.lit("\\")), F.coalesce(read, body)).otherwise(body)).otherwise(t)
+
+    def told(at: Column) -> Column:
+        head = F.get(at, F.lit(0))
+        inline, indent = F.btrim(F.regexp_extract(head, key, 2)), F.length(F.regexp_extract(head, key, 1))
+        below = F.filter(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda x: ~x.rlike(r"^\s*$"))
+        item = lambda x: x.rlike(r"^\s*-") & (F.length(F.regexp_extract(x, r"^(\s*)", 1)) > indent)
+        end = F.array_position(F.transform(below, item), False).cast("int")
+        block = F.transform(F.when(end > 0, F.slice(below, 1, F.greatest(end - 1, F.lit(0)))).otherwise(below), lambda x: F.regexp_extract(x, r"^\s*-\s?(.*)$", 1))
+        flat = F.filter(F.split(F.regexp_replace(inline, r"^[\[\]]+|[\[\]]+$", ""), ","), lambda x: ~x.rlike(r"^\s*$"))
+        return F.transform(F.when(inline.startswith("["), flat).otherwise(block), unquoted)
+
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(key)), True).cast("int")
+    return F.when(at > 0, told(F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)))).otherwise(F.array().cast("array<string>"))

@@ -131,4 +131,12 @@ SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN '٣٤٥' WHEN 1 THEN '1
 FROM {part}""",
         ("part",),
     ),
+    # a dictionary of phrases by language, node, source and kind
+    "dictionary": (
+        """
+SELECT CASE o_custkey % 2 WHEN 0 THEN 'ko' ELSE 'en' END AS lang, 'n' || CAST(o_custkey % 3 AS STRING) AS node, 'f' || CAST(o_custkey % 7 AS STRING) AS source, CASE o_custkey % 5 WHEN 0 THEN 'bias' WHEN 1 THEN 'semantic' WHEN 2 THEN 'prejudice' WHEN 3 THEN 'bias' ELSE 'note' END AS kind,
+  max(o_orderpriority || ', ' || lower(o_orderpriority) || '; x | ' || CAST(o_custkey % 11 AS STRING) || ' |p ' || CAST(o_custkey % 13 AS STRING)) AS text
+FROM {orders} GROUP BY 1, 2, 3, 4""",
+        ("orders",),
+    ),
 }

@@ -142,3 +142,35 @@ def selected_page(t: Tables) -> DataFrame:
     pages = t("orders").select(F.concat_ws("/", "o_custkey", "o_orderkey").alias("doc"), (k % 3).cast("int").alias("page"), F.when(k % 2 == 0, F.concat(F.lit(" "), F.repeat(F.lit("ab "), F.lit(20)))).otherwise(F.repeat(F.lit(". "), F.lit(40))).alias("text"))
     out = RD.page_text(pages, 1)
     return out.select(F.split_part("doc", F.lit("/"), F.lit(1)).cast("bigint").alias("doc"), "page", F.split_part("doc", F.lit("/"), F.lit(2)).cast("bigint").alias("k"), "text")
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS line, l_partkey % 60 AS x, max(l_quantity / 10)::DOUBLE AS v FROM lineitem GROUP BY ALL), g AS (SELECT line, quantile_cont(v, 0.12) AS base, max(v) AS peak FROM p GROUP BY 1),
+e AS (SELECT line, base, peak, min(x) FILTER (v > base + (peak - base) * 0.3) AS a, max(x) FILTER (v > base + (peak - base) * 0.3) AS b FROM p JOIN g USING (line) GROUP BY ALL)
+SELECT line, CASE WHEN peak - base < 2 OR a IS NULL THEN 0 ELSE a END::INT AS x0, CASE WHEN peak - base < 2 OR a IS NULL THEN 60 ELSE b + 1 END::INT AS x1 FROM e"""
+)
+def trimmed_columns(t: Tables) -> DataFrame:
+    profile = t("lineitem").groupBy(F.col("l_orderkey").alias("line"), (F.col("l_partkey") % 60).alias("x")).agg(F.max((F.col("l_quantity") / 10).cast("double")).alias("v"))
+    return RD.trimmed_columns(profile, ["line"], 60)
+
+
+@query(
+    """WITH o AS (SELECT page, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY y0, x0, x1, y1) AS k FROM boxes WHERE x1 - x0 >= 4 AND y1 - y0 >= 8 AND NOT (x1 - x0 >= 110 * 0.95 AND y1 - y0 >= 80 * 0.8)),
+step AS (SELECT page, 0 AS k, [{'x0': 0, 'y0': 0, 'x1': 0, 'y1': 0}][1:0] AS w FROM (SELECT DISTINCT page FROM o)
+  UNION ALL SELECT s.page, s.k + 1, CASE WHEN len(hit) = 0 THEN list_append(w, {'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1})
+    ELSE list_transform(w, lambda a, i: CASE WHEN i = hit[1] THEN {'x0': least(a.x0, o.x0), 'y0': least(a.y0, o.y0), 'x1': greatest(a.x1, o.x1), 'y1': greatest(a.y1, o.y1)} ELSE a END) END
+  FROM (SELECT s.*, list_filter(range(1, len(w) + 1), lambda i: least(w[i].y1, o.y1) > greatest(w[i].y0, o.y0) AND least(w[i].y1, o.y1) - greatest(w[i].y0, o.y0) >= least(w[i].y1 - w[i].y0, o.y1 - o.y0) * 0.7 AND least(w[i].x1, o.x1) > greatest(w[i].x0, o.x0)) AS hit
+    FROM step s JOIN o ON o.page = s.page AND o.k = s.k + 1) s JOIN o ON o.page = s.page AND o.k = s.k + 1)
+SELECT page, (n - 1)::INT AS n, greatest(0, m.x0 - 4) AS x0, greatest(0, m.y0 - 3) AS y0, least(110, m.x1 + 4) AS x1, least(80, m.y1 + 3) AS y1 FROM (SELECT page, unnest(w) AS m, generate_subscripts(w, 1) AS n FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY page ORDER BY k DESC) = 1)) WHERE n <= 40""",
+    ("boxes",),
+)
+def box_lines(t: Tables) -> DataFrame:
+    return RD.box_lines(t.fixture("boxes"), "page", 110, 80)
+
+
+@query(None)
+def tall_bands(t: Tables) -> DataFrame:
+    """Bands of a profile, the tall ones parted; the tests hold them against a definition."""
+    y = F.col("l_partkey") % 97
+    profile = t("lineitem").groupBy((F.col("l_orderkey") % 50).alias("page"), y.alias("y")).agg(F.max(F.col("l_discount") * 100).cast("double").alias("v"))
+    return RD.split_tall(RD.profile_bands(profile, "page"), profile, "page")

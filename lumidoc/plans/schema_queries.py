@@ -215,3 +215,32 @@ SELECT idx, field, round(bias, 6) AS bias, round(prejudice, 6) AS prejudice FROM
 def unprejudiced(t: Tables) -> DataFrame:
     out = GT.unprejudiced(t("embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec")), t.fixture("bank"))
     return out.select("idx", "field", F.round("bias", 6).alias("bias"), F.round("prejudice", 6).alias("prejudice"))
+
+
+@query(
+    r"""WITH a AS (SELECT d AS domain, 'f' || f AS field, l AS lang FROM (VALUES ('d0'), ('d1')) t(d), range(9) r(f), (VALUES (''), (' KOR'), ('en')) u(l)), nodes AS (SELECT * FROM (VALUES ('d0', 'n0', 0), ('d1', 'n2', 0), ('d1', 'n1', 1)) t(domain, node, k)),
+al AS (SELECT * FROM (VALUES ('d0', 'f0', 'f3', 0), ('d0', 'f0', 'f4', 1), ('d1', 'f8', 'f1', 0)) t(domain, field, source, s)), lg AS (SELECT * FROM (VALUES ('', 'ko', 0), ('', 'en', 1), (' KOR', 'ko', 0), ('en', 'en', 0)) t(lang, own, l)),
+m AS (SELECT a.domain, a.field, a.lang, l, k, coalesce(s, 0) AS s, own, node, coalesce(source, a.field) AS source FROM a JOIN nodes USING (domain) JOIN lg USING (lang) LEFT JOIN al ON al.domain = a.domain AND al.field = a.field),
+p AS (SELECT lang AS own, node, source, CASE kind WHEN 'bias' THEN 0 WHEN 'semantic' THEN 1 ELSE 2 END AS turn, generate_subscripts(x, 1) AS p, trim(unnest(x)) AS phrase FROM (SELECT *, regexp_split_to_array(text, '[,;|\n]+') AS x FROM dictionary WHERE kind <> 'note')),
+f AS (SELECT *, CASE WHEN turn = 2 THEN 'prejudice' ELSE 'bias' END AS side FROM m JOIN p USING (own, node, source) WHERE length(phrase) > 1 QUALIFY row_number() OVER (PARTITION BY domain, field, lang, side, lower(phrase) ORDER BY l, k, s, turn, p) = 1)
+SELECT domain, field, lang, side, (row_number() OVER (PARTITION BY domain, field, lang, side ORDER BY l, k, s, turn, p) - 1)::INT AS n, phrase FROM f""",
+    ("dictionary",),
+)
+def node_phrases(t: Tables) -> DataFrame:
+    make = t.spark.createDataFrame
+    asked = make([(d, f"f{f}", lang) for d in ("d0", "d1") for f in range(9) for lang in ("", " KOR", "en")], "domain string, field string, lang string")
+    nodes = make([("d0", "n0", 0), ("d1", "n2", 0), ("d1", "n1", 1)], "domain string, node string, ord int")
+    aliases = make([("d0", "f0", "f3", 0), ("d0", "f0", "f4", 1), ("d1", "f8", "f1", 0)], "domain string, field string, source string, ord int")
+    return SC.node_phrases(asked, t.fixture("dictionary"), nodes, aliases)
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN ['a', o_orderpriority] WHEN 1 THEN ['-', 'it''s', o_orderstatus] WHEN 2 THEN [] ELSE ['[x]', '"'] END AS items FROM orders"""
+)
+def listed_characters(t: Tables) -> DataFrame:
+    k, low = F.col("o_orderkey") % 4, F.col("o_orderpriority")
+    flow = F.concat(F.lit("a: 1\ncharacter_dict: ['a', "), low, F.lit(", ]\nb: 2"))
+    block = F.concat(F.lit("p:\r\n  character_dict:\n\n    - '-'\n    - 'it''s'\n    - "), "o_orderstatus", F.lit("\n  - no\n    - no"))
+    other = F.lit('character_dict :\n  - [x]\n  - "\\""\nnext: 1\n  - y')
+    text = F.when(k == 0, flow).when(k == 1, block).when(k == 2, F.lit("characters:\n  - a")).otherwise(other)
+    return t("orders").select(F.col("o_orderkey").alias("id"), SC.listed_characters(text).alias("items"))
