@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed to spark.checkpoint.dir; a folder is set only where none is, as in tests."""
+    """df checkpointed to spark.checkpoint.dir; where none is set a local session gets a folder of its own, a cluster an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='lumidoc-')}")
     return df.checkpoint()
