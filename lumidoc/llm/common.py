@@ -17,9 +17,11 @@ ARROW_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set only where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); unset, a local session gets one of its own, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lumidoc-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
