@@ -421,7 +421,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read a media column back: dimensions, thumbnail hash, digests of the payload and of the stored form.
+    """Read a media column back: dimensions of the first image, a thumbnail hash of each, digests of the payload and of the stored form.
 
     Files that can't be read get `error` and null features; the rows stay.
     """
@@ -438,8 +438,8 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     rows.append((None, None, None, *stored, None, None, None, None, str(images)))
                     continue
                 payload = payload_from(images)
-                first, thumb = images[0]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *stored, first.width, first.height, len(images), average_hash(thumb), None))
+                first = images[0][0]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *stored, first.width, first.height, len(images), ",".join(average_hash(thumb) for _, thumb in images), None))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)
