@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, written
 
 GROUPS = 4
 
@@ -97,7 +97,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     hosts = _prefixes(known, "key", [])
     hosts = hosts.select("key", "stack", F.explode(F.when(F.length("key") - F.length(F.replace("key", F.lit("."))) < 2, F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).otherwise(F.array(group(F.col("key"))))).alias("__group"))
     hosts = hosts.select("*", every_salt.alias("__salt"))
-    first = _swept(rows.withColumn("__group", group(F.col("key"))), hosts, ["__group", "__salt"], "key")
+    # read twice below: written, so that the first sweep runs once
+    first = written(_swept(rows.withColumn("__group", group(F.col("key"))), hosts, ["__group", "__salt"], "key").select("id", "host", "path", "stack", "__salt"), "url-swept", 4)
 
     open_ = first.where(F.size(F.coalesce("stack", F.array())) > 0).select("id", "host", "path", F.size("stack").alias("__depth"), "__salt", F.explode("stack").alias("owner"))
     rest = first.where(F.size(F.coalesce("stack", F.array())) <= 0).select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
