@@ -48,6 +48,33 @@ class VisionOptions:
     arena_rivals: int = 3
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, by an exact product and an exact sum; beyond the range of the split plainly."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    p = a * b
+    s = p + c
+    rest = (p - (s - (s - p))) + (c - (s - p)) + (((ah * bh - p) + ah * bl + al * bh) + al * bl)
+    return F.when(F.isnan(rest), s).otherwise(s + rest)
+
+
+def quantile(v: str, share: float) -> Column:
+    """The aggregate value at a share of a group's sorted values, between its neighbours by weights; rounded as DuckDB's quantile_cont does."""
+    values = F.array_sort(F.collect_list(F.col(v).cast("double")))
+
+    def at(x: Column) -> Column:
+        place = (F.size(x) - 1) * F.lit(share)
+        low, high = F.get(x, F.floor(place).cast("int")), F.get(x, F.ceil(place).cast("int"))
+        part = place - F.floor(place)
+        return F.when(part == 0, low).otherwise(_fused(low, 1 - part, high * part))
+
+    return F.get(F.transform(F.array(values), at), F.lit(0))
+
+
 def profile_bands(profile: DataFrame, page: str, gate: Column | None = None, least: int = LINE_MIN_H) -> DataFrame:
     """(page, y0, y1) of the runs of profile(page, y, v) over the gate that are at least `least` high; y1 is outside.
 
@@ -55,7 +82,7 @@ def profile_bands(profile: DataFrame, page: str, gate: Column | None = None, lea
     """
     rows = profile
     if gate is None:
-        base = F.percentile("v", F.lit(BAND_BASE))
+        base = quantile("v", BAND_BASE)
         stats = profile.groupBy(page).agg(base.alias("base"), F.max("v").alias("peak")).where(F.col("peak") - F.col("base") >= BAND_LEAST)
         rows = profile.join(stats.select(page, (F.col("base") + BAND_RANGE * (F.col("peak") - F.col("base"))).alias("gate")), page)
     else:
@@ -105,7 +132,7 @@ def split_tall(bands: DataFrame, profile: DataFrame, page: str) -> DataFrame:
 
 def trimmed_columns(profile: DataFrame, keys: list[str], width: int) -> DataFrame:
     """(*keys, x0, x1): from the first to the last of a line's columns profile(*keys, x, v) over its gate, the whole width where they hardly differ."""
-    stats = profile.groupBy(*keys).agg(F.percentile("v", F.lit(BAND_BASE)).alias("base"), F.max("v").alias("peak"))
+    stats = profile.groupBy(*keys).agg(quantile("v", BAND_BASE).alias("base"), F.max("v").alias("peak"))
     over = F.when(F.col("v") > F.col("base") + (F.col("peak") - F.col("base")) * TRIM_RANGE, F.col("x"))
     ends = profile.join(stats, keys).groupBy(*keys, "base", "peak").agg(F.min(over).alias("a"), F.max(over).alias("b"))
     whole = (F.col("peak") - F.col("base") < TRIM_LEAST) | F.col("a").isNull()
