@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches
+from .common import freed, limit_batches
 
 LEAST = 5
 THRESHOLD = 0.8
@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 if found:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), *cols], names=names)
 
-        part = rows.mapInArrow(run, kind)
+        part = rows.mapInArrow(freed(run), kind)
         out = part if out is None else out.union(part)
     return out
 
@@ -219,5 +219,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 clean = [all(x[1] < threshold for x in shared.value.search(t)) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(freed(run), docs.schema)
     return docs

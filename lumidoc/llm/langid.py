@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_batches
+from .common import freed, limit_batches
 
 BINS_LOG2 = 12
 PER_LANGUAGE = 500
@@ -153,7 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             x = [(v, features(t).astype(np.float16).tobytes()) for v, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in x], pa.string()), pa.array([f for _, f in x], pa.binary())], names=["lang", "x"])
 
-    rows = sample(docs, id_col, text_col, lang_col, per_language).mapInArrow(run, "lang string, x binary").collect()
+    rows = sample(docs, id_col, text_col, lang_col, per_language).mapInArrow(freed(run), "lang string, x binary").collect()
     if not rows:
         return Model([], np.zeros((0, 0)), np.zeros((1 << BINS_LOG2, 0)), np.zeros(0), np.zeros(0))
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(freed(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -197,7 +197,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = _decided(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and not vague for lang, _, vague in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def _decided(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool]]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, limit_batches, written
+from .common import freed, fresh, limit_batches, written
 
 #: Words from which on a changed word counts as one edit.
 WORDS = 8
@@ -226,7 +226,7 @@ def _scan(rows: DataFrame, words: int, least_chars: int) -> DataFrame:
 
     long = T.LongType()
     kinds = [("id", rows.schema["id"].dataType), ("mark", long), ("at", T.IntegerType()), ("h1", long), ("h2", long), ("keys", T.ArrayType(long))]
-    return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in kinds]))
+    return rows.mapInArrow(freed(run), T.StructType([T.StructField(n, t) for n, t in kinds]))
 
 
 def _met(keyed: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def _keyed(lines: DataFrame, words: int, least_chars: int) -> DataFrame:
             place = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
             yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), batch.column(0).take(place), batch.column(1).take(place)], names=["key", "h1", "h2"])
 
-    return lines.select("h1", "h2", "line").mapInArrow(run, "key bigint, h1 bigint, h2 bigint")
+    return lines.select("h1", "h2", "line").mapInArrow(freed(run), "key bigint, h1 bigint, h2 bigint")
 
 
 def _varied(lines: DataFrame, words: int, least_chars: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _varied(lines: DataFrame, words: int, least_chars: int) -> DataFrame:
                     place = pa.array(np.full(len(keys[part]), k))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(kinds[part]), pa.array(keys[part])], names=["h1", "h2", "kind", "variant"])
 
-    return lines.select("h1", "h2", "line", "met").mapInArrow(run, "h1 bigint, h2 bigint, kind int, variant bigint").distinct()
+    return lines.select("h1", "h2", "line", "met").mapInArrow(freed(run), "h1 bigint, h2 bigint, kind int, variant bigint").distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, words: int, least_chars: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, words: int, least_chars: int)
 
     texts = lines.select("h1", "h2", "line")
     both = pairs.join(texts.toDF("l1", "l2", "late"), ["l1", "l2"]).join(texts.toDF("e1", "e2", "early"), ["e1", "e2"])
-    return both.select(F.col("l1").alias("h1"), F.col("l2").alias("h2"), "late", "early").mapInArrow(run, "h1 bigint, h2 bigint").distinct()
+    return both.select(F.col("l1").alias("h1"), F.col("l2").alias("h2"), "late", "early").mapInArrow(freed(run), "h1 bigint, h2 bigint").distinct()
 
 
 def _links(rows: DataFrame, classes: DataFrame, words: int, least_chars: int) -> DataFrame:
@@ -348,4 +348,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], names=[*batch.schema.names[:-1], "n_lines", "n_dropped"])
 
-    return rows.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())]))
+    return rows.mapInArrow(freed(run), T.StructType([*rest.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())]))

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, shuffle_width, written
+from .common import freed, limit_batches, shuffle_width, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 14
@@ -257,7 +257,7 @@ def _ordinary(docs: DataFrame, id_col: str, text_col: str, model: str, back: boo
             texts = [pa.array([None if x is None else own.decode(x) for x in ids], pa.string())] if back else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), *texts], names=names)
 
-    return rows.where(_small(chunk)).mapInArrow(plain, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>" + ", text string" * back)
+    return rows.where(_small(chunk)).mapInArrow(freed(plain), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>" + ", text string" * back)
 
 
 def _giants(docs: DataFrame, id_col: str, text_col: str, model: str, chunk: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _giants(docs: DataFrame, id_col: str, text_col: str, model: str, chunk: int)
 
     shape = f"key string, id {kind}, chunk int, part string, low int, high int"
     width = shuffle_width(spark)
-    chunks = written(rows.mapInArrow(split, shape).repartition(width, "key", "chunk").dropDuplicates(["key", "chunk"]), "chunks")
+    chunks = written(rows.mapInArrow(freed(split), shape).repartition(width, "key", "chunk").dropDuplicates(["key", "chunk"]), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(model)
@@ -302,7 +302,7 @@ def _giants(docs: DataFrame, id_col: str, text_col: str, model: str, chunk: int)
         states = borders(found)
         return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "border": [[*a, *b] for a, b in zip(states, states[1:], strict=False)]})
 
-    states = chunks.select("key", "chunk", "part", "low", "high").mapInArrow(matrices, "key string, chunk int, matrix array<array<int>>").repartition(width, "key").groupBy("key").applyInPandas(choose, "key string, chunk int, border array<int>")
+    states = chunks.select("key", "chunk", "part", "low", "high").mapInArrow(freed(matrices), "key string, chunk int, matrix array<array<int>>").repartition(width, "key").groupBy("key").applyInPandas(choose, "key string, chunk int, border array<int>")
 
     def backtraced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(model)
@@ -311,7 +311,7 @@ def _giants(docs: DataFrame, id_col: str, text_col: str, model: str, chunk: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["key", "id", "chunk", "ids"])
 
     joined = chunks.join(states, ["key", "chunk"]).select("key", "id", "chunk", "part", "low", "high", "border")
-    traced = joined.mapInArrow(backtraced, f"key string, id {kind}, chunk int, ids array<int>")
+    traced = joined.mapInArrow(freed(backtraced), f"key string, id {kind}, chunk int, ids array<int>")
     whole = traced.groupBy("key").agg(F.first("id").alias("id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     again = rows.groupBy("key").agg(F.count("*").alias("times"))
     every = whole.join(again, "key").select("id", "ids", F.explode(F.sequence(F.lit(1), F.col("times"))))
@@ -336,4 +336,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", model: str = MODEL) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     rows = encoded.select(id_col, "ids")
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>, text string")
+    return rows.mapInArrow(freed(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>, text string")
