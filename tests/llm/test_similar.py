@@ -79,3 +79,23 @@ def test_ids_that_repeat_or_are_null(spark):
 
 def test_empty_table(spark):
     assert similar.keep_first(spark.createDataFrame([], TEXT)).count() == 0
+
+
+def test_every_pair_is_found_by_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(similar, "bands", lambda found: [7] if len(found) else [])  # everything meets, hubs too
+    rows = corpus()[:70]
+    words = [similar._words(t) for _, t in rows]
+    prints = {similar._class(w): (similar.fingerprint(similar.shingles(w)), len(similar.shingles(w))) for w in words}
+    seen, linked = [], similar._linked
+
+    def spy(pairs, *rest):
+        seen.extend(tuple(r) for r in pairs.collect())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_linked", spy)
+    similar.keep_first(spark.createDataFrame(rows, TEXT)).collect()
+    assert seen
+    for a, b in seen:
+        (p, n), (q, m) = prints[a], prints[b]
+        apart = (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
+        assert apart <= (similar.WIDE if min(n, m) < similar.FEW else similar.RADIUS)
