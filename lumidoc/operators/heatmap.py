@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import shipped
 from ..sources.shared import settled
 from . import scoring as S
 
+#: Claims and patches of a page that one task holds against each other, and claims at a time.
+GROUNDED_BLOCK, GROUNDED_STEP = 4096, 256
+
 
 def calibrated(patches: DataFrame, bank: DataFrame) -> DataFrame:
     """(idx, category, net, score) of patches(idx, vec): bias less positive prejudice, standardised per patch, then per category."""
@@ -61,13 +67,56 @@ def positive_stats(scores: DataFrame, group: str = "category") -> DataFrame:
     return rows.select(group, F.when(few, 0.0).otherwise(F.col("mean")).alias("mean"), F.when(few, 0.0).otherwise(F.col("sd")).alias("sd"), "n", F.when(F.col("n") < 4, 0.0).otherwise(F.col("mean") + F.col("sd")).alias("gate"))
 
 
+def _widths(vecs: pd.Series) -> np.ndarray:
+    """The length of each vector; -1 for a missing one or one with a missing value."""
+    return np.array([-1 if v is None or any(x is None for x in v) else len(v) for v in vecs], np.int64)
+
+
 def grounded(claims: DataFrame, patches: DataFrame, page: str, leeway: float = 0.5) -> DataFrame:
     """(claim, s_in, s_out, accepted) of claims(page, claim, vec, r0, r1, c0, c1): does the best patch inside its box beat those outside?
 
-    Claims meet the patches of their own page by an equi-join, a grid of some hundred patches.
+    Every claim meets every patch of its own page. A page's claims and patches are dealt into blocks, and each two blocks
+    are one matrix product whose similarities never leave it: a claim gets one row of counts, sums and maxima from each.
+    Vectors that are missing or of another length have no similarity.
     """
-    sims = claims.join(patches.select(page, "r", "c", F.col("vec").alias("pvec")), page).select("claim", S.cosine(F.col("vec"), F.col("pvec")).alias("sim"), (F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1"))).alias("inside"))
-    rows = sims.groupBy("claim").agg(F.avg("sim").alias("mean"), F.greatest(F.stddev_pop("sim"), F.lit(1e-6)).alias("sd"), F.max(F.when(F.col("inside"), F.col("sim"))).alias("in"), F.max(F.when(~F.col("inside"), F.col("sim"))).alias("out"), F.count_if(F.col("inside")).alias("n_in"), F.count_if(~F.col("inside")).alias("n_out"))
+    shipped(claims.sparkSession)
+    sizes = claims.groupBy(page).agg(F.ceil(F.count("*") / GROUNDED_BLOCK).alias("blocks")).join(patches.groupBy(page).agg(F.ceil(F.count("*") / GROUNDED_BLOCK).alias("others")), page)
+
+    def dealt(rows: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+        return rows.join(sizes, page).withColumn(own, F.pmod(F.xxhash64(*by), F.col("blocks" if own == "i" else "others"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others" if own == "i" else "blocks") - 1))).drop("blocks", "others")
+
+    left = dealt(claims.select(page, "claim", "vec", "r0", "r1", "c0", "c1"), "i", "j", "claim")
+    right = dealt(patches.select(page, "r", "c", F.col("vec").alias("pvec")), "j", "i", "r", "c")
+    right = right.toDF("own", "r", "c", "pvec", "j2", "i2")  # names of its own: both sides may come from one table
+    names = ["claim", "n", "total", "squares", "in", "out", "n_in", "n_out"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({k: [] for k in names})
+        wide, r, c = _widths(right["pvec"]), right["r"].to_numpy(np.float64), right["c"].to_numpy(np.float64)
+        parts = []
+        for k in range(0, len(left), GROUNDED_STEP):
+            part = left.iloc[k : k + GROUNDED_STEP]
+            own = _widths(part["vec"])
+            sims, valid = np.zeros((len(part), len(right))), (own[:, None] == wide) & (own[:, None] >= 0)
+            for width in set(own[own > 0].tolist()) & set(wide.tolist()):
+                a, b = np.flatnonzero(own == width), np.flatnonzero(wide == width)
+                x, y = (np.array(v.tolist(), np.float64) for v in (part["vec"].iloc[a], right["pvec"].iloc[b]))
+                length = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+                sims[np.ix_(a, b)] = np.where(length < S.TINY * S.TINY, 0.0, (x @ y.T) / np.maximum(length, S.TINY * S.TINY))
+            r0, r1, c0, c1 = (part[k].to_numpy(np.float64)[:, None] for k in ("r0", "r1", "c0", "c1"))
+            inside, outside = (r >= r0) & (r <= r1) & (c >= c0) & (c <= c1), (r < r0) | (r > r1) | (c < c0) | (c > c1)
+            best = [np.where(valid & side, sims, -np.inf).max(axis=1) for side in (inside, outside)]
+            kept = np.where(valid, sims, 0.0)
+            parts.append(pd.DataFrame(dict(zip(names, [part["claim"].to_numpy(), valid.sum(axis=1), kept.sum(axis=1), (kept * kept).sum(axis=1), *best, inside.sum(axis=1), outside.sum(axis=1)], strict=True))))
+        return pd.concat(parts)
+
+    shape = f"claim {claims.schema['claim'].dataType.simpleString()}, n bigint, total double, squares double, `in` double, out double, n_in bigint, n_out bigint"
+    found = left.groupBy(page, "i", "j").cogroup(right.groupBy("own", "i2", "j2")).applyInPandas(run, shape)
+    best = lambda k: F.max(F.when(F.col(k) != float("-inf"), F.col(k))).alias(k)
+    sums = found.groupBy("claim").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), best("in"), best("out"), F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+    mean = F.try_divide("total", F.col("n").cast("double"))
+    rows = sums.withColumn("mean", mean).withColumn("sd", F.greatest(F.sqrt(F.greatest(F.try_divide("squares", F.col("n").cast("double")) - F.col("mean") * F.col("mean"), F.lit(0.0))), F.lit(1e-6)))
     s_in = (F.col("in") - F.col("mean")) / F.col("sd") - S.gumbel(F.col("n_in"))
     s_out = (F.col("out") - F.col("mean")) / F.col("sd") - S.gumbel(F.col("n_out"))
     return rows.select("claim", s_in.alias("s_in"), s_out.alias("s_out"), F.when(s_in.isNull() | s_out.isNull(), True).otherwise((s_in >= s_out) | (s_out - s_in < leeway)).alias("accepted"))
